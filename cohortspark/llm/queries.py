@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.cells import on_scale, present
 from cohortspark.functions.ids import session_key, subject_key
-from cohortspark.llm import percentiles, splits, survivor
+from cohortspark.llm import leaks, mixing, percentiles, sentences, splits, survivor
 from cohortspark.sources.tables import table
 
 P1_FIELDS = ["nwbv", "etiv", "cdr", "age"]
@@ -75,6 +75,30 @@ def p5_judged_values(spark: SparkSession, sf: str) -> DataFrame:
     return _resolved(spark, sf).where("judged_true").select("group_id", "field_name", "value", "record_id", "n_records", "p_true")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that leaked, with the number of documents and the best score."""
+    found = leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("score").alias("best_score"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The kind of site (the first label of the host: docs, old, www) stands for the topic."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "source", "lang", F.regexp_extract("host", r"^([^.]*)\.", 1).alias("topic"))
+    return mixing.mix(documents, table(spark, sf, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares_report(p7_mix(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf, "documents")).select("doc_id", "end_pos")
+
+
 QUERIES = {
     "p1_percentiles": p1_percentiles,
     "p1_union_percentiles": p1_union_percentiles,
@@ -84,6 +108,11 @@ QUERIES = {
     "p4_split_report": p4_split_report,
     "p5_found": p5_found,
     "p5_judged_values": p5_judged_values,
+    "p6_found": p6_found,
+    "p6_leaked_items": p6_leaked_items,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 
 
