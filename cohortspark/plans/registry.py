@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import data_queries
+from cohortspark.plans import cohort_queries, cohort_sql, data_queries
 
-_MODULES = (data_queries,)
-FLAGSHIP = "p3_filled"
+FLAGSHIP = "fold_summary"
 
 
 def queries() -> dict:
-    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+    return cohort_queries.QUERIES | data_queries.QUERIES
 
 
 def oracles() -> dict:
-    return {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+    return cohort_sql.ORACLES | data_queries.ORACLES
