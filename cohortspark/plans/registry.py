@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import cohort_queries, cohort_sql, data_queries
+from cohortspark.plans import cohort_queries, cohort_sql, data_queries, voxel_queries
 
 FLAGSHIP = "fold_summary"
 
 
 def queries() -> dict:
-    return cohort_queries.QUERIES | data_queries.QUERIES
+    return cohort_queries.QUERIES | voxel_queries.QUERIES | data_queries.QUERIES
 
 
 def oracles() -> dict:
-    return cohort_sql.ORACLES | data_queries.ORACLES
+    return cohort_sql.ORACLES | voxel_queries.ORACLES | data_queries.ORACLES
