@@ -22,10 +22,14 @@ def subject_key(subject_id: Column, raw_id: Column | None = None) -> Column:
 
     Null where neither holds a number. Numbers of more than eight digits are kept whole.
     """
-    n = _number(subject_id, _SUBJECT)
-    if raw_id is not None:
-        n = F.coalesce(n, _number(raw_id, _SUBJECT))
-    return F.when(n.isNotNull(), F.concat(F.lit("OAS1_"), F.when(F.length(n) < 8, F.lpad(n, 8, "0")).otherwise(n)))
+    def padded(text: Column) -> Column:
+        n = _number(text, _SUBJECT)
+        return F.concat(F.lit("OAS1_"), F.when(F.length(n) < 8, F.lpad(n, 8, "0")).otherwise(n))
+
+    # most ids are canonical as they are, and patterns cost more than all else in a scan
+    canonical = subject_id.startswith("OAS1_") & (F.length(subject_id) == 13) & (F.translate(F.substring(subject_id, 6, 8), "0123456789", "") == "")
+    spelled = padded(subject_id) if raw_id is None else F.coalesce(padded(subject_id), padded(raw_id))
+    return F.when(canonical, subject_id).otherwise(spelled)
 
 
 def session_key(session_id: Column, raw_id: Column | None = None) -> Column:
@@ -33,4 +37,5 @@ def session_key(session_id: Column, raw_id: Column | None = None) -> Column:
     n = _number(session_id, _SESSION)
     if raw_id is not None:
         n = F.coalesce(n, _number(raw_id, _SESSION_IN_RAW))
-    return F.concat(F.lit("MR"), n)
+    canonical = session_id.between("MR1", "MR9") & (F.length(session_id) == 3)
+    return F.when(canonical, session_id).otherwise(F.concat(F.lit("MR"), n))
