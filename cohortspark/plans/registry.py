@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from cohortspark.plans import cohort_queries, cohort_sql, data_queries, voxel_queries
+from cohortspark.plans import cohort_queries, cohort_sql, data_queries, model_queries, voxel_queries
 
 FLAGSHIP = "fold_summary"
 
 
 def queries() -> dict:
-    return cohort_queries.QUERIES | voxel_queries.QUERIES | data_queries.QUERIES
+    return cohort_queries.QUERIES | voxel_queries.QUERIES | model_queries.QUERIES | data_queries.QUERIES
 
 
 def oracles() -> dict:
