@@ -5,7 +5,7 @@ a block's seeds travel to the tasks. Per block there are two passes over the doc
 
 1. every document becomes an array of letters; those that hold seeds (n-grams of a passage) are written with their hits;
 2. the seeds' document frequencies over the whole corpus say which seed of each few neighbouring ones is the rarest. A
-   document with two rare seeds of a passage is aligned with it. No frequency is too high: a passage that a third of
+   document with some of a passage's rare seeds (LEAST_SEEDS, two at least) is aligned with it. No frequency is too high: a passage that a third of
    all documents repeat keeps its rarest seeds.
 """
 
@@ -26,6 +26,9 @@ from cohortspark.plans.shared import ship, written
 SEED, DENSE_SEED = 10, 5
 #: Of so many neighbouring seeds the rarest is kept, so a clean stretch of SEED + NEIGHBOURS - 1 letters always holds one.
 NEIGHBOURS, DENSE_NEIGHBOURS = 4, 2
+#: Share of a passage's rare seeds from which a document is aligned with it. A copy of two fifths of a passage with one word
+#: in seven changed keeps about a fifth of them; most chance meetings of texts share one in thirty.
+LEAST_SEEDS = 0.06
 #: Passages whose seeds are sent to the tasks at once (a passage of 300 letters has 300 seeds of 16 bytes).
 BLOCK = 5_000
 #: Alignment: points of a match, a differing letter, a gap, and for going on after a jump.
@@ -128,6 +131,7 @@ class Rare:
 
     def __init__(self, passages, items, begin, passage, place):
         self.passages, self.items, self.begin, self.passage, self.place = passages, items, begin, passage, place
+        self.least = np.maximum(2, np.bincount(passage, minlength=len(passages)) * LEAST_SEEDS)
 
 
 def alignment(passage: np.ndarray, text: np.ndarray) -> float:
@@ -212,9 +216,9 @@ def _aligned_batches(broadcast_rare):
                 which = np.repeat(rare.begin[seeds], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 passage, place, hit = rare.passage[which], rare.place[which], np.repeat(at, count)
                 text = None
-                for p in np.unique(passage):
+                for p in np.flatnonzero(np.bincount(passage, minlength=len(rare.passages)) >= rare.least):
                     own = passage == p
-                    if len(np.unique(place[own])) < 2:
+                    if len(np.unique(place[own])) < rare.least[p]:
                         continue
                     if text is None:
                         text = np.frombuffer(batch.column("letters")[r].as_py().encode("utf-32-le"), np.uint32)
