@@ -266,6 +266,6 @@ def _leaks_of(documents: DataFrame, block: Block, least_score: float) -> DataFra
     hits = written(docs.mapInArrow(_hit_batches(block.seeds, block.slots()), hit_schema), "leak-hits")
     counted = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).toPandas()  # one row per seed of the block at most
     frequency = np.zeros(len(block.seeds), dtype=np.int64)
-    frequency[counted["seed"].to_numpy()] = counted["n"].to_numpy()
+    frequency[counted["seed"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     rare = spark.sparkContext.broadcast(block.rare(frequency))
     return hits.mapInArrow(_aligned_batches(rare), result).where(F.col("score") >= least_score)

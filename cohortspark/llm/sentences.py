@@ -40,6 +40,7 @@ _SPAN = re.compile(
 _TERM = re.compile("[.!?…。！？｡।॥؟۔;;։።။]+")
 _THAI_SPACE = re.compile("(?<=[ก-ฺเ-ๅ็-๎])[   ]+(?=[ก-ฮะ-ฺเ-ไ])")
 _LIST_NUMBER = re.compile(r"[(\[]?(?:\d{1,3}|[^\W\d_])[.)\]]+")
+_SPACE = re.compile(r"\s*")
 _TOKEN = re.compile(r"\S+\Z")
 _OPENING = "\"“„«»「『(（[¿¡‘'’–—-•*·​⁠­﻿"
 _EDGE = "\"“”„«»「」『』()（）[]¿¡‘’',:;!?،؛"
@@ -104,7 +105,7 @@ def candidates(p: str) -> Iterator[Candidate]:
         mark = m.group()
         end = b
         if span:
-            if p[b : span[1] - 1].strip():
+            if _SPACE.match(p, b).end() < span[1] - 1:
                 continue
             end = span[1]
         while end < n and p[end] in "”“\"»」』)）]’" and not (span is None and k < len(spans) and spans[k][0] == end):
@@ -135,11 +136,11 @@ def candidates(p: str) -> Iterator[Candidate]:
 
 def mark_place(c: Candidate, p: str, start: int) -> None:
     """Where the candidate stands in its unit, which begins at `start`."""
-    unit = p[start : c.end].strip()
-    c.listed = bool(_LIST_NUMBER.fullmatch(unit))
+    begin = _SPACE.match(p, start).end()
+    c.listed = c.end - begin <= 8 and bool(_LIST_NUMBER.fullmatch(p, begin, c.end))
     if c.quoted:
-        before = p[start : c.quoted[0]].strip()
-        c.quote_at_start = not before or bool(_LIST_NUMBER.fullmatch(before))
+        open_ = c.quoted[0]
+        c.quote_at_start = open_ <= begin or (open_ - begin <= 9 and bool(_LIST_NUMBER.fullmatch(p[begin:open_].strip())))
 
 
 def features(c: Candidate, stats: dict[str, tuple[int, int, int]], own_end: bool = False) -> list[float]:
