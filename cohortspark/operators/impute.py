@@ -77,26 +77,28 @@ def fill_missing(
     holds more rows than days have passed, however many records an entity has. The records join back on entity and
     day, and those without an entity are spread over salted keys.
     """
-    day, month = F.to_date(time), F.trunc(F.to_date(time), "month")
     made = {f"{s.field}_{x}" for s in scales for x in ("filled", "method", "distance")}
-    kept = records.select([F.col(f"`{c}`") for c in records.columns if c not in made])
-    own = {s.field: on_scale(F.col(s.field).cast("double"), s.low, s.high) for s in scales}
+    inner = {c: f"in{i}" for i, c in enumerate(records.columns) if c not in made}  # so that no column's name can clash
+    kept = records.select([F.col(f"`{c}`").alias(n) for c, n in inner.items()])
+    entity, place, time = inner[entity], inner[place], inner[time]
+    day, month = F.to_date(time), F.trunc(F.to_date(time), "month")
+    own = {s.field: on_scale(F.col(inner[s.field]).cast("double"), s.low, s.high) for s in scales}
     if any(not s.numeric for s in scales):  # a category is a whole code
         own |= {s.field: F.when(own[s.field] == F.floor(own[s.field]), own[s.field]) for s in scales if not s.numeric}
 
-    observed = kept.select(F.col(entity).alias("e_"), F.col(place).alias("p_"), day.alias("d_"), month.alias("m_"), *[own[s.field].alias(s.field) for s in scales])
-    daily = observed.where(F.col("e_").isNotNull() & F.col("d_").isNotNull()).groupBy("e_", "d_").agg(*[c for s in scales for c in _summary(s, F.col(s.field), "")])
-    daily = daily.select("e_", F.col("d_").alias("day_"), *[_typical(s, "").alias(f"v_{s.field}") for s in scales])
-    before = Window.partitionBy("e_").orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("e_").orderBy(F.col("day_").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    seen = {s.field: F.when(F.col(f"v_{s.field}").isNotNull(), F.struct("day_", F.col(f"v_{s.field}").alias("v"))) for s in scales}
+    observed = kept.select(F.col(entity).alias("_cs_e"), F.col(place).alias("_cs_p"), day.alias("_cs_d"), month.alias("_cs_m"), *[own[s.field].alias(s.field) for s in scales])
+    daily = observed.where(F.col("_cs_e").isNotNull() & F.col("_cs_d").isNotNull()).groupBy("_cs_e", "_cs_d").agg(*[c for s in scales for c in _summary(s, F.col(s.field), "")])
+    daily = daily.select("_cs_e", F.col("_cs_d").alias("_cs_day"), *[_typical(s, "").alias(f"v_{s.field}") for s in scales])
+    before = Window.partitionBy("_cs_e").orderBy("_cs_day").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_cs_e").orderBy(F.col("_cs_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    seen = {s.field: F.when(F.col(f"v_{s.field}").isNotNull(), F.struct("_cs_day", F.col(f"v_{s.field}").alias("v"))) for s in scales}
     near = daily.withColumns({f"b_{s.field}": F.last(seen[s.field], ignorenulls=True).over(before) for s in scales})
     near = near.withColumns({f"a_{s.field}": F.last(seen[s.field], ignorenulls=True).over(after) for s in scales})
 
     def from_entity(s: Scale) -> Column:
         """(value, method, distance) from the entity's own days, or null."""
         b, a, v = F.col(f"b_{s.field}"), F.col(f"a_{s.field}"), F.col(f"v_{s.field}")
-        to_b, to_a = F.date_diff("day_", b["day_"]), F.date_diff(a["day_"], F.col("day_"))
+        to_b, to_a = F.date_diff("_cs_day", b["_cs_day"]), F.date_diff(a["_cs_day"], F.col("_cs_day"))
         made = lambda value, method, distance: F.struct(value.alias("value"), F.lit(method).alias("method"), distance.alias("distance"))
         line = b["v"] + (a["v"] - b["v"]) * to_b / (to_a + to_b)
         back = to_a.isNull() | (to_b <= to_a)
@@ -106,25 +108,25 @@ def fill_missing(
             pick = pick.when(to_b.isNotNull() & to_a.isNotNull(), made(line, "interpolated", gap))
         return pick.when(gap <= max_gap_days, made(nearest, "carried", gap))
 
-    near = near.select("e_", F.col("day_").alias("d_"), *[from_entity(s).alias(f"e_{s.field}") for s in scales])
+    near = near.select("_cs_e", F.col("_cs_day").alias("_cs_d"), *[from_entity(s).alias(f"_cs_e_{s.field}") for s in scales])
 
-    monthly = checked_broadcast(observed.groupBy("p_", "m_").agg(*[c for s in scales for c in _summary(s, F.col(s.field), "")]))
-    monthly_of = monthly.select(F.col("p_").alias("pm_"), "m_", *[_typical(s, "").alias(f"pm_{s.field}") for s in scales])
-    places = monthly.groupBy(F.col("p_").alias("pp_")).agg(*[c for s in scales for c in _merged(s, "")])
-    places = checked_broadcast(places.select("pp_", *[_typical(s, "").alias(f"pp_{s.field}") for s in scales]))
+    monthly = checked_broadcast(observed.groupBy("_cs_p", "_cs_m").agg(*[c for s in scales for c in _summary(s, F.col(s.field), "")]))
+    monthly_of = monthly.select(F.col("_cs_p").alias("_cs_pm"), "_cs_m", *[_typical(s, "").alias(f"_cs_pm_{s.field}") for s in scales])
+    places = monthly.groupBy(F.col("_cs_p").alias("_cs_pp")).agg(*[c for s in scales for c in _merged(s, "")])
+    places = checked_broadcast(places.select("_cs_pp", *[_typical(s, "").alias(f"_cs_pp_{s.field}") for s in scales]))
     overall = monthly.groupBy().agg(*[c for s in scales for c in _merged(s, "")]).select(*[_typical(s, "").alias(s.field) for s in scales]).first()
 
-    salted = F.coalesce(F.col(entity).cast("string"), F.concat(F.lit("\0"), F.pmod(F.hash(time, place, *[s.field for s in scales]), F.lit(997)).cast("string")))
-    keyed = kept.withColumns({"e_": salted, "d_": day, "m_": month})
+    salted = F.coalesce(F.col(entity).cast("string"), F.concat(F.lit("\0"), F.pmod(F.hash(time, place, *[inner[s.field] for s in scales]), F.lit(997)).cast("string")))
+    keyed = kept.withColumns({"_cs_e": salted, "_cs_d": day, "_cs_m": month})
     joined = (
-        keyed.join(near.withColumn("e_", F.col("e_").cast("string")), ["e_", "d_"], "left")
-        .join(monthly_of, F.col("pm_").eqNullSafe(F.col(place)) & monthly_of["m_"].eqNullSafe(keyed["m_"]), "left")
-        .join(places, F.col("pp_").eqNullSafe(F.col(place)), "left")
+        keyed.join(near.withColumn("_cs_e", F.col("_cs_e").cast("string")), ["_cs_e", "_cs_d"], "left")
+        .join(monthly_of, F.col("_cs_pm").eqNullSafe(F.col(place)) & monthly_of["_cs_m"].eqNullSafe(keyed["_cs_m"]), "left")
+        .join(places, F.col("_cs_pp").eqNullSafe(F.col(place)), "left")
     )
 
     def filled(s: Scale) -> dict[str, Column]:
-        e, default = F.col(f"e_{s.field}"), F.lit(overall[s.field]).cast("double")
-        month_v, place_v = F.col(f"pm_{s.field}"), F.col(f"pp_{s.field}")
+        e, default = F.col(f"_cs_e_{s.field}"), F.lit(overall[s.field]).cast("double")
+        month_v, place_v = F.col(f"_cs_pm_{s.field}"), F.col(f"_cs_pp_{s.field}")
         missing = own[s.field].isNull()
         method = F.coalesce(e["method"], F.when(month_v.isNotNull(), "place_month"), F.when(place_v.isNotNull(), "place"), F.when(default.isNotNull(), "overall"), F.lit("none"))
         return {
@@ -134,7 +136,7 @@ def fill_missing(
         }
 
     results = {k: v for s in scales for k, v in filled(s).items()}
-    return joined.select(*[keyed[f"`{c}`"] for c in kept.columns], *[v.alias(k) for k, v in results.items()])
+    return joined.select(*[F.col(n).alias(c) for c, n in inner.items()], *[v.alias(k) for k, v in results.items()])
 
 
 def filled_cells(filled: DataFrame, key: str, scales: tuple[Scale, ...] = CLINICAL) -> DataFrame:

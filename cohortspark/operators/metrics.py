@@ -108,7 +108,7 @@ def _replicates(spark, counts: list[int], n_boot: int, seed: int, statistic: Cal
             draws = np.stack([np.random.default_rng((seed, int(b))).multinomial(total, shares) for b in batch["id"]]) if len(batch) else np.zeros((0, len(shares)))
             yield pd.DataFrame({"b": batch["id"], "value": statistic(draws)})
 
-    return spark.range(n_boot).mapInPandas(run, "b long, value double").where(~F.isnan("value"))
+    return spark.range(n_boot).mapInPandas(run, "b long, value double").where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _interval(values: DataFrame, point: float | None, alpha: float) -> DataFrame:

@@ -85,8 +85,8 @@ def zscore(data: Column, foreground_only: bool = True) -> Column:
     used = F.filter(data, lambda v: v > 0) if foreground_only else data
     add = lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"))
     total = F.aggregate(used, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), add)
-    mean = F.array(F.when(total["n"] > 0, total["s"] / total["n"]))
-    moments = F.transform(mean, lambda m: F.struct(m.alias("m"), F.sqrt(F.aggregate(used, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(used)).alias("sd")))
+    mean = F.array(F.try_divide(total["s"], total["n"]))
+    moments = F.transform(mean, lambda m: F.struct(m.alias("m"), F.sqrt(F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(used))).alias("sd")))
     return F.flatten(F.transform(moments, lambda q: F.transform(data, lambda v: F.when(q["sd"] > 0, (v - q["m"]) / q["sd"]).otherwise(0.0))))
 
 
