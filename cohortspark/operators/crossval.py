@@ -49,7 +49,7 @@ def _scores(rows: DataFrame, tasks: list[tuple[int, int, int]], grid: list[Recip
     sent = rows.select("fold", "_row", "_x", F.col(label).cast("int").alias("_y")).join(plan, (F.col("inner") < 0) | (F.col("fold") != F.col("outer")))
     sent = sent.withColumn("_test", F.col("fold") == tested)
 
-    def fit(key, part: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_row")
         x, y, test = np.stack(part["_x"].to_numpy()).astype(float), part["_y"].to_numpy(), part["_test"].to_numpy()
         score = Model(x[~test], y[~test], grid[key[2]]).score(x[test])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.draws import digest
 from cohortspark.operators.joins import assert_unique, many_to_one_join
-from cohortspark.plans.shared import checked_broadcast
+from cohortspark.plans.shared import checked_broadcast, written
 
 
 def conflicts(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -56,9 +56,10 @@ def assign_subject_folds(manifest: DataFrame, n_splits: int = 5, seed: int = 42)
     """
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
-    known = manifest.where(F.col("subject_id").isNotNull() & F.col("label").isNotNull()).select("subject_id", "label")
-    _refuse(conflicts(known, "subject_id", "label"), "subject_id", "conflicting labels")
-    subjects = known.groupBy("subject_id").agg(F.min("label").alias("label"))
+    known = manifest.where(F.col("subject_id").isNotNull() & F.col("label").isNotNull())
+    subjects = written(known.groupBy("subject_id").agg(F.min("label").alias("label"), F.max("label").alias("other")), "fold-subjects")
+    _refuse(subjects.where("label <> other"), "subject_id", "conflicting labels")
+    subjects = subjects.drop("other")
     sizes = {r["label"]: r["n"] for r in subjects.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()}
     if sizes and min(sizes.values()) < n_splits:
         raise ValueError(f"the smallest class has {min(sizes.values())} subjects, fewer than {n_splits} folds")
@@ -67,7 +68,7 @@ def assign_subject_folds(manifest: DataFrame, n_splits: int = 5, seed: int = 42)
     for label, n in sizes.items():
         offset = F.when(F.col("label") == label, so_far).otherwise(offset)
         so_far += n
-    return numbered.select("subject_id", "label", F.pmod(F.col("_n") + offset, F.lit(n_splits)).cast("int").alias("fold"))
+    return written(numbered.select("subject_id", "label", F.pmod(F.col("_n") + offset, F.lit(n_splits)).cast("int").alias("fold")), "subject-folds")
 
 
 def attach_folds(df: DataFrame, folds: DataFrame) -> DataFrame:

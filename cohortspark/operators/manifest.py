@@ -22,12 +22,9 @@ def derive_label(cdr: Column) -> Column:
     return F.when(known == 0, F.lit(0)).when(known >= 0.5, F.lit(1)).cast("int")
 
 
-def id_parts(raw_id: Column) -> Column:
-    """struct(subject_id, session_id) of `OAS1_0001_MR1`; raises for any other number of parts. Null stays null."""
-    parts = F.split(F.trim(raw_id), "_")
-    good = F.size(parts) == 3
-    parsed = F.struct(F.concat_ws("_", parts[0], parts[1]).alias("subject_id"), F.get(parts, F.lit(2)).alias("session_id"))
-    return F.when(raw_id.isNull(), None).when(good, parsed).otherwise(F.raise_error(F.concat(F.lit("not a session id: "), raw_id)))
+def _checked_parts(parts: Column, raw_id: Column) -> Column:
+    """Three parts of an id; raises for any other number. Null stays null."""
+    return F.when(parts.isNull() | (F.size(parts) == 3), parts).otherwise(F.raise_error(F.concat(F.lit("not a session id: "), raw_id)))
 
 
 def build_manifest(raw: DataFrame) -> DataFrame:
@@ -39,12 +36,16 @@ def build_manifest(raw: DataFrame) -> DataFrame:
     require_columns(raw, REQUIRED)
     label = derive_label(F.col("CDR").cast("double"))
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-    parsed = F.when(label.isNotNull(), id_parts(F.col("ID")))
-    return raw.select(
-        parsed.alias("id"), F.col("ID").alias("raw_id"), F.col("M/F").alias("sex"), F.col("Age").cast("int").alias("age"),
+    # in steps, so that no step repeats the expressions of the one before
+    split = raw.select(
+        F.when(label.isNotNull(), F.split(F.trim("ID"), "_")).alias("parts"), F.col("ID").alias("raw_id"), F.col("M/F").alias("sex"), F.col("Age").cast("int").alias("age"),
         number("Educ").alias("education"), number("SES").alias("ses"), number("MMSE").alias("mmse"), F.col("CDR").cast("double").alias("cdr"),
         label.alias("label"), F.col("eTIV").cast("int").alias("etiv"), F.col("nWBV").cast("double").alias("nwbv"), F.col("ASF").cast("double").alias("asf"),
-    ).where(F.col("label").isNotNull()).select("id.subject_id", "id.session_id", "raw_id", "sex", "age", "education", "ses", "mmse", "cdr", "label", "etiv", "nwbv", "asf")
+    ).where(F.col("label").isNotNull())
+    rest = split.columns[1:]
+    checked = split.select(_checked_parts(F.col("parts"), F.col("raw_id")).alias("parts"), *rest)
+    subject = F.when(F.col("parts").isNotNull(), F.concat_ws("_", F.get("parts", F.lit(0)), F.get("parts", F.lit(1))))
+    return checked.select(subject.alias("subject_id"), F.get("parts", F.lit(2)).alias("session_id"), *rest)
 
 
 def add_control_eligibility(manifest: DataFrame, min_control_age: int = 60) -> DataFrame:
