@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortspark.llm.letters import is_dense, letters
+from cohortspark.llm.letters import is_dense, letters, pieces
 from cohortspark.plans.shared import ship, written
 
 #: Letters of a seed, and of one in ideographs and kana.
@@ -160,7 +160,7 @@ def alignment(passage: np.ndarray, text: np.ndarray) -> float:
 
 def _hit_batches(block_seeds: np.ndarray, slots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, "text")):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             arrays = [letters(t) for t in texts]
             lengths = np.fromiter((len(a) for a in arrays), np.int64, len(arrays))

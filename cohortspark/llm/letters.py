@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SIZE = 0x110000
 #: Scripts without case or decomposition, whose letters stand for themselves.
@@ -44,3 +47,16 @@ def letters(text: str) -> np.ndarray:
 def is_dense(codes: np.ndarray) -> np.ndarray:
     """Ideographs, kana and syllable blocks: scripts of which a few letters say as much as a dozen elsewhere."""
     return ((codes >= 0x3040) & (codes < 0xA000)) | ((codes >= 0xAC00) & (codes < 0xD7A4)) | (codes >= 0x20000)
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `most` characters of a column, or of one row: bounds a task's memory."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if held and held + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
