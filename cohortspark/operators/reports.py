@@ -15,7 +15,7 @@ def value_counts(df: DataFrame, columns: list[str], dropna: bool = True, share:
             df = df.where(F.col(c).isNotNull())
     counted = df.groupBy(*columns).agg(F.count("*").alias("count"))
     if share:
-        counted = counted.withColumn("share", F.bround(F.col("count") / F.sum("count").over(Window.partitionBy()), 2))
+        counted = counted.withColumn("share", F.bround(F.col("count") / F.lit(max(1, df.count())), 2))
     return counted.orderBy(F.col("count").desc(), *columns)
 
 

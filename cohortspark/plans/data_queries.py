@@ -39,8 +39,36 @@ def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_typed_rows": p2_typed_rows, "p3_found": p3_found, "p3_filled": p3_filled}
 
+#: § stands for the sheet's separator. A well-formed record, and its fields once it is known to be one.
+_CELL = '(?:"(?:[^"]|"")*"|[^"§\\n\\r]*)'
+_KINDS = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
+
+
+def _sheet_sql() -> str:
+    """Cells by name, trimmed, with `.` as decimal mark, null where missing; then the first reason that applies."""
+    cells, bad = [], []
+    for rule in bad_rows.METADATA_RULES:
+        raw = f"f[list_position(names, '{rule.header}')]"
+        text = f"CASE WHEN starts_with({raw}, '\"') THEN replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
+        cell = f"nullif(nullif(trim({text}, ' '), ''), na_token)"
+        if rule.kind == "double":
+            cell = f"CASE WHEN decimal_mark = '.' THEN {cell} ELSE translate({cell}, '.' || decimal_mark, chr(1) || '.') END"
+        cells.append(f"{cell} AS c_{rule.name}")
+        fails = f"(c_{rule.name} IS NOT NULL AND NOT regexp_full_match(c_{rule.name}, '{rule.pattern}'))" if rule.pattern else "FALSE"
+        bad.append(f"(c_{rule.name} IS NULL OR {fails})" if rule.required else fails)
+    return f"""
+WITH r AS (SELECT *, replace(regexp_escape(sep_char), chr(92) || chr(92), chr(92)) AS sep, string_split(header, sep_char) AS names FROM sheet_rows JOIN sheets USING (sheet_id)),
+q AS (SELECT *, regexp_full_match(raw_line, replace('{_CELL}(?:§{_CELL})*', '§', sep)) AS good FROM r),
+l AS (SELECT *, CASE WHEN good THEN regexp_extract_all(sep_char || raw_line, replace('§({_CELL})', '§', sep), 1) END AS f FROM q),
+c AS (SELECT *, {', '.join(cells)} FROM l),
+j AS (SELECT *, CASE WHEN NOT good THEN 'quoting' WHEN len(f) <> len(names) THEN 'columns' WHEN {' OR '.join(bad)} THEN 'values' END AS reason FROM c)
+"""
+
+
 _OFF = "({0} IS NULL OR isnan({0}) OR {0} < {1} OR {0} > {2})"
 ORACLES = {
+    "p2_found": _sheet_sql() + "SELECT row_id, reason FROM j WHERE reason IS NOT NULL",
+    "p2_typed_rows": _sheet_sql() + "SELECT row_id, sheet_id, line_no, " + ", ".join(f"CAST(c_{r.name} AS {_KINDS[r.kind]}) AS {r.name}" for r in bad_rows.METADATA_RULES) + " FROM j WHERE reason IS NULL",
     "p3_found": " UNION ALL ".join(
         f"SELECT record_id, '{f}' AS field_name FROM subject_records WHERE {_OFF.format(f, lo, hi)}"
         for f, lo, hi in (("education", 1, 5), ("ses", 1, 5), ("mmse", 0, 30))
