@@ -212,7 +212,38 @@ def shuffle_global(spark: SparkSession, sf: str) -> DataFrame:
     return shuffle_labels(fold_assign(spark, sf), "subject_id", "label", SEED)
 
 
+def ranked_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites by mean age of their records, best first, with the number of distinct subjects and batches."""
+    records = table(spark, sf, "subject_records").withColumn("who", subject_key(F.col("subject_id"), F.col("raw_id")))
+    per = records.groupBy("site").agg(F.round(F.avg("age"), 6).alias("mean_age"), F.count_distinct("who").alias("n_subjects"), F.count_distinct("batch_day").alias("n_days"))
+    return reports.rank_by(per, "mean_age", ties=["site"])
+
+
+def top_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten first sessions by name that have images."""
+    return _images(spark, sf).select("raw_id").orderBy("raw_id").limit(10)
+
+
+def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct subjects and labels of sessions and slices together."""
+    pairs = sessions(spark, sf).select("subject_id", "label").unionByName(_slices(spark, sf).select("subject_id", "label"))
+    return pairs.distinct()
+
+
+def slice_subjects_without_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return _slices(spark, sf).select("subject_id").subtract(sessions(spark, sf).select("subject_id"))
+
+
+def aligned_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models' predictions of the same subjects, by subject: how often they agree, per label."""
+    mean = _aggregated("mean")(spark, sf).select("subject_id", F.col("y_pred").alias("other"))
+    both = joins.one_to_one_join(_predictions(spark, sf), mean, ["subject_id"])
+    return both.groupBy("y_true").agg(F.count("*").alias("n"), F.count_if(F.col("y_pred") == F.col("other")).alias("n_agree"))
+
+
 QUERIES = {
+    "ranked_sites": ranked_sites, "top_sessions": top_sessions, "label_pairs": label_pairs, "slice_subjects_without_sessions": slice_subjects_without_sessions,
+    "aligned_predictions": aligned_predictions,
     "fold_summary": fold_summary, "manifest_build": manifest_build, "manifest_violations": manifest_violations, "cohort_filter": cohort_filter,
     "fold_assign": fold_assign, "label_conflicts": label_conflicts, "slice_leakage": slice_leakage,
     "agg_mean": _aggregated("mean"), "agg_median": _aggregated("median"), "agg_max": _aggregated("max"), "slice_agreement": agreement,

@@ -67,6 +67,11 @@ give AS (SELECT {g} AS g, label, row_number() OVER (PARTITION BY {g} ORDER BY md
 SELECT t.subject_id, v.label, t.fold FROM take t JOIN give v USING (g, n)"""
 
 ORACLES = {
+    "ranked_sites": f"SELECT site, round(avg(age), 6) AS mean_age, count(DISTINCT {subject('subject_id', 'raw_id')}) AS n_subjects, count(DISTINCT batch_day) AS n_days FROM subject_records GROUP BY site",
+    "top_sessions": _with(_IMAGES) + "SELECT raw_id FROM images ORDER BY raw_id LIMIT 10",
+    "label_pairs": _with(SESSIONS, SLICES) + "SELECT subject_id, label FROM sessions UNION SELECT subject_id, label FROM slices",
+    "slice_subjects_without_sessions": _with(SESSIONS, SLICES) + "SELECT subject_id FROM slices EXCEPT SELECT subject_id FROM sessions",
+    "aligned_predictions": _with(SLICES, CLEAN, _aggregated("avg", "a"), _aggregated("max", "b")) + "SELECT b.label AS y_true, count(*) AS n, count(*) FILTER ((a.score >= 0.5) = (b.score >= 0.5)) AS n_agree FROM a JOIN b USING (subject_id) GROUP BY b.label",
     "manifest_build": _with(SESSIONS) + "SELECT * FROM sessions",
     "manifest_violations": _with(SESSIONS) + "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER ({c} IS NULL{f' OR isnan({c})' if c in ('cdr', 'nwbv', 'asf') else ''}) AS {c}_missing" for c in _MUST) + ", count(*) FILTER (label NOT IN (0, 1)) AS label_invalid FROM sessions",
     "cohort_filter": _with(SESSIONS) + "SELECT label, sex, count(*) AS n, count(DISTINCT subject_id) AS n_subjects FROM sessions WHERE age_matched_cohort GROUP BY ALL",

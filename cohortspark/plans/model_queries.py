@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.operators import aggregate, crossval, embed, features, folds, segment
+from cohortspark.operators import aggregate, crossval, embed, features, folds, reports, segment, studies
 from cohortspark.operators.logistic import Recipe, fit_large
 from cohortspark.plans.cohort_queries import N_SPLITS, SEED
 from cohortspark.plans.voxel_queries import segmentations, volumes
@@ -60,7 +60,31 @@ def embed_cv(spark: SparkSession, sf: str) -> DataFrame:
     return aggregate.aggregate_predictions(scored.drop("y_pred"))
 
 
+SETS = {"fractions": FEATURES[:3], "ratio": FEATURES[3:], "all": FEATURES}
+
+
+def baseline_study(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature sets side by side with a control, set against the earlier probe."""
+    return studies.against_probe(studies.evaluate_sets(featured(spark, sf), SETS, control="all"))
+
+
+def recipe_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return studies.compare_recipes(featured(spark, sf), SETS, {name: GRID for name in SETS})
+
+
+def collinearity_study(spark: SparkSession, sf: str) -> DataFrame:
+    return studies.collinearity(featured(spark, sf), FEATURES)
+
+
+def near_constant(spark: SparkSession, sf: str) -> DataFrame:
+    """Regional features that hardly vary between volumes."""
+    wide = volumes(spark, sf).select("subject_id", *[F.get("data", F.lit(i)).alias(f"v_b0_0_{i}") for i in range(64)], F.lit(1.0).alias("flat_b0_0_0"))
+    names = features.near_constant(wide, [c for c in wide.columns if "_b" in c])
+    return reports.value_counts(spark.createDataFrame([(n,) for n in names], "name string"), ["name"])
+
+
 QUERIES = {
+    "baseline_study": baseline_study, "recipe_comparison": recipe_comparison, "collinearity_study": collinearity_study, "near_constant": near_constant,
     "cv_logreg": cv_logreg, "nested_cv": nested_cv, "nested_selections": nested_selections, "final_model": final_model,
     "segment_dice": segment_dice, "embed_fanout": embed_fanout, "embed_cv": embed_cv,
 }
