@@ -29,6 +29,9 @@ from cohortspark.plans.shared import ship, written
 TRAINING_DOCUMENTS = 6_000
 #: Tokens of at most so many characters can be abbreviations; statistics are kept for them alone.
 SHORT = 8
+#: Share of line ends among a token's occurrences with a period from which it ends sentences like any word, and number of
+#: contexts in which a word that ends sentences would surely have ended a line.
+USUAL_ENDS, ENOUGH_CONTEXTS = 0.05, 40
 #: A token type is kept as abbreviation-like from this share of occurrences with a period.
 LEAST_PERIOD_SHARE = 0.2
 
@@ -46,7 +49,7 @@ _OPENING = "\"“„«»「『(（[¿¡‘'’–—-•*·​⁠­﻿"
 _EDGE = "\"“”„«»「」『』()（）[]¿¡‘’',:;!?،؛"
 _IGNORED = "​⁠­﻿"
 _STANDING = "。！？｡"  # end sentences without a space
-N_FEATURES = 22
+N_FEATURES = 23
 
 
 def paragraphs(text: str, plain: bool) -> Iterator[tuple[int, int]]:
@@ -89,6 +92,11 @@ def _token_before(p: str, at: int) -> str:
     return word
 
 
+def _type(word: str) -> str:
+    """What statistics are kept of: the token, or how long a number is."""
+    return f"#{len(word)}" if word.isdigit() else word
+
+
 class Candidate:
     __slots__ = ("end", "mark", "word", "quoted", "quote_at_start", "after_colon", "next", "kind", "at_end", "listed")
 
@@ -161,15 +169,17 @@ def features(c: Candidate, stats: dict[str, tuple[int, int, int]], own_end: bool
     x[7] = float(bool(c.quoted) and c.next == "と")
     if period:
         word = c.word
-        contexts, ends, plain = stats.get(word, (0, 0, 1))
+        contexts, ends, plain = stats.get(_type(word), (0, 0, 1))
         if own_end and ends:
             contexts, ends = contexts - 1, ends - 1
         share = contexts / (contexts + plain) if contexts else 0.0
+        final = min(1.0, ends / (contexts + ends) / USUAL_ENDS) if contexts + ends else 0.0  # ends lines like other words
         x[8] = share
         x[9] = math.log1p(contexts) / 5
-        x[10] = float(ends == 0) * share
-        x[11] = float(ends == 0) * share * math.log1p(contexts) / 5
-        x[12] = float(ends > 0)
+        x[10] = (1 - final) * share
+        x[11] = (1 - final) * share * math.log1p(contexts) / 5
+        x[12] = final
+        x[22] = (1 - final) * min(1.0, contexts / ENOUGH_CONTEXTS)  # seen often, and never where sentences end
         bare = word.replace(".", "").replace(" ", "")
         x[13] = share * float(len(word) == 1 and word.isalpha())
         x[14] = min(len(bare), 12) / 12
@@ -178,7 +188,7 @@ def features(c: Candidate, stats: dict[str, tuple[int, int, int]], own_end: bool
         x[17] = float("." in word)
         x[18] = float(word[:1].isupper())
         x[19] = float(len(bare) > SHORT)
-        x[20] = share * float(len(bare) <= 3 and ends == 0)
+        x[20] = share * (1 - final) * float(len(bare) <= 3)
     before = unicodedata.name(c.word[-1], "") if c.word else ""
     x[21] = float(bool(before) and not before.startswith("LATIN"))
     return x
@@ -209,14 +219,15 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for c in candidates(p):
                     if c.mark == "." and 0 < len(c.word) <= SHORT:
                         if c.at_end:
-                            ends[c.word] += 1
-                        contexts.add((c.word, "" if c.at_end else p[c.end : c.end + 16].split(maxsplit=1)[0] if p[c.end :].strip() else ""))
+                            ends[_type(c.word)] += 1
+                        after = p[c.end : c.end + 16].split(maxsplit=1)
+                        contexts.add((_type(c.word), f"{c.word} {after[0]}" if after else ""))
         plain_counts: Counter[str] = Counter()
         for token, count in words.items():
             if len(token) <= SHORT + 4 and not token.endswith("."):
                 bare = token.strip(_EDGE)
                 if 0 < len(bare) <= SHORT:
-                    plain_counts[bare] += count
+                    plain_counts[_type(bare)] += count
         rows = [(w, x, 1, 0, 0) for w, x in contexts] + [(w, None, 0, n, 0) for w, n in ends.items()] + [(w, None, 0, 0, n) for w, n in plain_counts.items()]
         columns = list(zip(*rows)) if rows else [[], [], [], [], []]
         yield pa.RecordBatch.from_arrays(
