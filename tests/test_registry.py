@@ -1,4 +1,5 @@
 import ast
+from numbers import Number
 from pathlib import Path
 
 import pytest
@@ -30,5 +31,6 @@ def test_query_matches_sql(spark, sf, name):
     got = registry.queries()[name](spark, sf).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    rows = lambda df: sorted(tuple(round(float(v), 6) if isinstance(v, (int, float)) else str(v) for v in r) for r in df[columns].itertuples(index=False))
+    plain = lambda v: round(float(v), 6) if isinstance(v, Number) else str(v)
+    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].itertuples(index=False))
     assert rows(got) == rows(want)
