@@ -38,6 +38,20 @@ def random_projection(dim: int, input_size: int, seed: int = 0) -> Callable[[],
 REGISTRY = {"projection_64": Backbone("projection_64", 64, 8, random_projection(64, 8)), "projection_512": Backbone("projection_512", 512, 16, random_projection(512, 16))}
 
 
+#: Backbones with pretrained weights, their dimensions and input size. Their weights aren't here: register one with
+#: `register`, giving the function that builds it.
+PRETRAINED = {"resnet18": (512, 224), "resnet50": (2048, 224), "efficientnet_b0": (1280, 224), "convnext_tiny": (768, 224), "densenet121": (1024, 224)}
+
+
+def register(name: str, build: Callable[[], Callable[[np.ndarray], np.ndarray]], dim: int | None = None, input_size: int | None = None) -> Backbone:
+    """Adds a backbone; dimensions of known ones are as declared above, those of others must be given."""
+    known = PRETRAINED.get(name, (dim, input_size))
+    if None in known:
+        raise ValueError("dim and input_size must be given")
+    REGISTRY[name] = Backbone(name, *known, build)
+    return REGISTRY[name]
+
+
 def backbone(name: str) -> Backbone:
     if name not in REGISTRY:
         raise ValueError(f"backbone must be one of {sorted(REGISTRY)}")

@@ -10,7 +10,7 @@ TISSUES = {"background": 0, "csf": 1, "grey_matter": 2, "white_matter": 3}
 BRAIN = ("csf", "grey_matter", "white_matter")
 TISSUE_FEATURES = (
     "background_voxels", "csf_voxels", "grey_matter_voxels", "white_matter_voxels", "csf_fraction", "grey_matter_fraction", "white_matter_fraction",
-    "gm_to_csf_ratio", "gm_to_wm_ratio", "brain_to_csf_ratio", "intracranial_voxels",
+    "gm_csf_ratio", "gm_wm_ratio", "brain_csf_ratio", "intracranial_voxels",
 )
 
 
@@ -36,7 +36,7 @@ def tissue_features(df: DataFrame, seg: str = "seg") -> DataFrame:
     return counted.withColumns({
         "intracranial_voxels": brain,
         **{f"{t}_fraction": _ratio(F.col(f"{t}_voxels"), brain) for t in BRAIN},
-        "gm_to_csf_ratio": _ratio(gm, csf), "gm_to_wm_ratio": _ratio(gm, wm), "brain_to_csf_ratio": _ratio(gm + wm, csf),
+        "gm_csf_ratio": _ratio(gm, csf), "gm_wm_ratio": _ratio(gm, wm), "brain_csf_ratio": _ratio(gm + wm, csf),
     })
 
 

@@ -10,7 +10,7 @@ from cohortspark.operators.logistic import Recipe, fit_large
 from cohortspark.plans.cohort_queries import N_SPLITS, SEED
 from cohortspark.plans.voxel_queries import segmentations, volumes
 
-FEATURES = ["csf_fraction", "grey_matter_fraction", "white_matter_fraction", "gm_to_wm_ratio"]
+FEATURES = ["csf_fraction", "grey_matter_fraction", "white_matter_fraction", "gm_wm_ratio"]
 GRID = [Recipe(c=0.01), Recipe(c=1.0), Recipe(c=1.0, k=2), Recipe(c=1.0, components=2)]
 
 

@@ -137,7 +137,7 @@ ORACLES = {
     "tissue_features": _V + _SEG + """, t AS (SELECT subject_id, count(*) FILTER (seg = 0) AS b, count(*) FILTER (seg = 1) AS c, count(*) FILTER (seg = 2) AS g, count(*) FILTER (seg = 3) AS w FROM s GROUP BY subject_id)
         SELECT subject_id, b AS background_voxels, c AS csf_voxels, g AS grey_matter_voxels, w AS white_matter_voxels, c + g + w AS intracranial_voxels,
         round(coalesce(c / nullif(c + g + w, 0), 0), 6) AS csf_fraction, round(coalesce(g / nullif(c + g + w, 0), 0), 6) AS grey_matter_fraction, round(coalesce(w / nullif(c + g + w, 0), 0), 6) AS white_matter_fraction,
-        round(coalesce(g / nullif(c, 0), 0), 6) AS gm_to_csf_ratio, round(coalesce(g / nullif(w, 0), 0), 6) AS gm_to_wm_ratio, round(coalesce((g + w) / nullif(c, 0), 0), 6) AS brain_to_csf_ratio FROM t""",
+        round(coalesce(g / nullif(c, 0), 0), 6) AS gm_csf_ratio, round(coalesce(g / nullif(w, 0), 0), 6) AS gm_wm_ratio, round(coalesce((g + w) / nullif(c, 0), 0), 6) AS brain_csf_ratio FROM t""",
     "regional_fractions": _V + _SEG + _BLOCKS + _FRACTIONS + "SELECT subject_id, tissue, i, j, k, round(value, 6) AS value FROM f",
     "block_occupancy": _V + _SEG + _BLOCKS + "SELECT subject_id, i, j, k, round(brain / voxels, 6) AS value FROM g",
     "asymmetry": _V + _SEG + _BLOCKS + _FRACTIONS + _ASYM + "SELECT subject_id, tissue, i, j, k, round(value, 6) AS value FROM y",

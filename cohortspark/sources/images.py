@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What follows the session's name in its image files, by variant; `*` stands for the number of scans.
+#: Folder below the session's and what follows the session's name there, by variant; `*` is the number of scans.
 VARIANTS = {
-    "t88_masked_gfc": "_mpr_n*_anon_111_t88_masked_gfc",
-    "t88_gfc": "_mpr_n*_anon_111_t88_gfc",
-    "sbj_111": "_mpr_n*_anon_sbj_111",
-    "fseg": "_mpr_n*_anon_111_t88_masked_gfc_fseg",
+    "t88_masked_gfc": ("PROCESSED/MPRAGE/T88_111", "_mpr_n*_anon_111_t88_masked_gfc"),
+    "t88_gfc": ("PROCESSED/MPRAGE/T88_111", "_mpr_n*_anon_111_t88_gfc"),
+    "subject_native": ("PROCESSED/MPRAGE/SUBJ_111", "_mpr_n*_anon_sbj_111"),
+    "fsl_seg": ("FSL_SEG", "_mpr_n*_anon_111_t88_masked_gfc_fseg"),
 }
 DEFAULT_VARIANT = "t88_masked_gfc"
 
@@ -21,8 +21,9 @@ def image_pattern(variant: str = DEFAULT_VARIANT, suffix: str = "img") -> str:
     """Regular expression of an image's path: folder of the disc, of the session, and the file; group 1 is the session."""
     if variant not in VARIANTS:
         raise ValueError(f"variant must be one of {sorted(VARIANTS)}")
-    tail = "[^/]*".join(re.escape(part) for part in VARIANTS[variant].split("*"))
-    return rf"(?:^|/)disc[^/]*/(OAS1_[^/]+)/(?:[^/]+/)*\1{tail}\.{suffix}$"
+    folder, name = VARIANTS[variant]
+    tail = "[^/]*".join(re.escape(part) for part in name.split("*"))
+    return rf"(?:^|/)disc[^/]*/(OAS1_[^/]+)/{folder}/\1{tail}\.{suffix}$"
 
 
 def session_of(path: Column, variant: str = DEFAULT_VARIANT, suffix: str = "img") -> Column:

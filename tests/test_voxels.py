@@ -61,9 +61,9 @@ def test_tissue_and_regions(spark):
     flat = np.repeat([0, 1, 2, 3], [400, 100, 300, 200]).reshape(10, 10, 10)
     r = features.tissue_features(seg_frame(spark, flat)).first()
     assert (r.background_voxels, r.csf_voxels, r.grey_matter_voxels, r.white_matter_voxels, r.intracranial_voxels) == (400, 100, 300, 200, 600)
-    assert (r.gm_to_csf_ratio, r.gm_to_wm_ratio, r.brain_to_csf_ratio) == (3.0, 1.5, 5.0)
+    assert (r.gm_csf_ratio, r.gm_wm_ratio, r.brain_csf_ratio) == (3.0, 1.5, 5.0)
     none = features.tissue_features(seg_frame(spark, np.zeros((2, 2, 2)))).first()
-    assert none.csf_fraction == none.gm_to_csf_ratio == 0.0
+    assert none.csf_fraction == none.gm_csf_ratio == 0.0
     with pytest.raises(Exception, match="unknown label"):
         features.tissue_features(seg_frame(spark, np.full((2, 2, 2), 7))).collect()
     for size, n in ((9, 3), (10, 3), (11, 3), (122, 14)):
@@ -114,6 +114,11 @@ def test_embedding(spark):
     wrong = embed.Backbone("wrong", 5, 8, embed.random_projection(6, 8))
     with pytest.raises(Exception, match="declares 5"):
         embed.embed_cohort(df, ["subject_id"], wrong, n=1).collect()
+    with pytest.raises(ValueError):
+        embed.register("mine", embed.random_projection(6, 8))
+    with pytest.raises(ValueError):
+        embed.backbone("resnet18")
+    assert embed.register("mine", embed.random_projection(6, 8), 6, 8) is embed.backbone("mine")
     assert embed.embedding_columns(["emb_10", "emb_2", "emb_x", "emb_0", "id"]) == ["emb_0", "emb_2", "emb_10"]
     assert np.allclose(embed.resize(np.arange(4.0).reshape(1, 1, 2, 2), 4)[0, 0, 0], [0, 0.25, 0.75, 1])
 
