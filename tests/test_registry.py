@@ -3,6 +3,7 @@ from numbers import Number
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cohortspark.plans import registry
@@ -32,6 +33,6 @@ def test_query_matches_sql(spark, sf, name):
     got = registry.queries()[name](spark, sf).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    plain = lambda v: "null" if v is None or v != v else f"{float(v):.6f}" if isinstance(v, (Number, np.bool_)) else str(v)
+    plain = lambda v: "null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (Number, np.bool_)) else str(v)
     rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].itertuples(index=False))
     assert rows(got) == rows(want)
