@@ -11,6 +11,7 @@ from cohortspark.plans.cohort_queries import N_SPLITS, SEED
 from cohortspark.plans.voxel_queries import segmentations, volumes
 
 FEATURES = ["csf_fraction", "grey_matter_fraction", "white_matter_fraction", "gm_wm_ratio"]
+BACKBONE = "projection_64"
 GRID = [Recipe(c=0.01), Recipe(c=1.0), Recipe(c=1.0, k=2), Recipe(c=1.0, components=2)]
 
 
@@ -48,12 +49,12 @@ def segment_dice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    return embed.embed_cohort(volumes(spark, sf), ["subject_id", "label"], embed.backbone("projection_64"), n=3, step=1)
+    return embed.embed_cohort(volumes(spark, sf), ["subject_id", "label"], embed.backbone(BACKBONE), n=3, step=1)
 
 
 def embed_cv(spark: SparkSession, sf: str) -> DataFrame:
-    """Slices scored out of fold by their embedding and folded back to subjects."""
-    wide = embed.widen(embed_fanout(spark, sf), 8)
+    """Slices scored out of fold by all columns of their embedding and folded back to subjects."""
+    wide = embed.widen(embed_fanout(spark, sf), embed.backbone(BACKBONE).dim)
     names = embed.embedding_columns(wide.columns)
     assigned = folds.assign_subject_folds(wide, N_SPLITS, SEED)
     scored = crossval.cross_validate(folds.attach_folds(wide, assigned), names, Recipe(c=0.01))

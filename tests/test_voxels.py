@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.operators import crossval, embed, features, logistic, segment, voxels
 from cohortspark.operators.logistic import Recipe
+from cohortspark.plans import model_queries
 from cohortspark.sources import artifact
 from cohortspark.sources import volumes as volume_files
 
@@ -153,6 +154,18 @@ def test_cross_validation(spark):
             crossval.cross_validate(bad, ["feat_a", "feat_b"])
 
 
+def test_embed_cv_fits_every_column(spark, sf, monkeypatch):
+    fitted = []
+
+    def cross_validate(df, names, recipe):
+        fitted.extend(names)
+        return df.withColumns({"y_score": F.lit(0.5), "y_pred": F.lit(1)})
+
+    monkeypatch.setattr(crossval, "cross_validate", cross_validate)
+    model_queries.embed_cv(spark, sf)
+    assert fitted == [f"emb_{i}" for i in range(embed.backbone("projection_64").dim)]
+
+
 def test_distributed_and_grouped_fits_agree(spark, monkeypatch):
     df = cv_frame(spark, 1)
     small = {r.subject_id: r.y_score for r in crossval.cross_validate(df, ["feat_a", "feat_b"]).collect()}
