@@ -74,6 +74,13 @@ def availability_by(df: DataFrame, group: str) -> DataFrame:
     return per.withColumn("n_cn", F.col("n") - F.col("n_demented"))
 
 
+def image_states_by(df: DataFrame, group: str) -> DataFrame:
+    """Per group: rows, cases, controls, and how many have one image, several, and none."""
+    several = F.col("image_ambiguous")
+    per = df.groupBy(group).agg(F.count("*").alias("n"), F.sum("label").alias("n_demented"), F.count_if(F.col("image_available") & ~several).alias("n_one"), F.count_if(several).alias("n_ambiguous"), F.count_if(~F.col("image_available")).alias("n_none"))
+    return per.withColumn("n_cn", F.col("n") - F.col("n_demented"))
+
+
 def argmax_first(trace: DataFrame, group: list[str], score: str, index: str) -> DataFrame:
     """Per group the row with the highest score; of equals the one with the smallest index."""
     rest = [c for c in trace.columns if c not in group]

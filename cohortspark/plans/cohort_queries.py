@@ -130,9 +130,19 @@ def ambiguous_images(spark: SparkSession, sf: str) -> DataFrame:
     return _images(spark, sf).where("n_images > 1")
 
 
+def _attached(spark: SparkSession, sf: str) -> DataFrame:
+    return images.attach_images(sessions(spark, sf).select("subject_id", "raw_id", "label", "age", "sex", "cdr", "nwbv", "etiv", "asf", "mmse", "education").distinct(), _images(spark, sf))
+
+
 def _available(spark: SparkSession, sf: str) -> DataFrame:
-    one = _images(spark, sf).where("n_images = 1")
-    return images.attach_images(sessions(spark, sf).select("subject_id", "raw_id", "label", "age", "sex", "cdr", "nwbv", "etiv", "asf", "mmse", "education").distinct(), one)
+    """As the SQL counts: a session of several images isn't available. image_states and its reports tell it from one without."""
+    return _attached(spark, sf).withColumn("image_available", F.col("image_available") & ~F.col("image_ambiguous")).drop("image_ambiguous")
+
+
+def _by_fold(report, rows: DataFrame, assigned: DataFrame, counts: list[str]) -> DataFrame:
+    per = report(rows.drop("label").join(assigned, "subject_id"), "fold")
+    every = rows.sparkSession.range(N_SPLITS).select(F.col("id").cast("int").alias("fold"))
+    return joins.completed(per, every, "fold", counts)
 
 
 def availability(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,10 +150,7 @@ def availability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def availability_by_fold(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _available(spark, sf).drop("label").join(fold_assign(spark, sf), "subject_id")
-    per = reports.availability_by(rows, "fold")
-    every = spark.range(N_SPLITS).select(F.col("id").cast("int").alias("fold"))
-    return joins.completed(per, every, "fold", ["n", "n_demented", "n_available", "n_cn"])
+    return _by_fold(reports.availability_by, _available(spark, sf), fold_assign(spark, sf), ["n", "n_demented", "n_available", "n_cn"])
 
 
 def missing_vs_present(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,6 +158,21 @@ def missing_vs_present(spark: SparkSession, sf: str) -> DataFrame:
     return found.select([F.round(c, 6).alias(c) for c in found.columns])
 
 
+def image_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with whether they have images, and more than one."""
+    return _attached(spark, sf).select("raw_id", "label", "age", "image_path", "image_available", "image_ambiguous").distinct()
+
+
+def image_states_by_fold(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_fold(reports.image_states_by, _attached(spark, sf), fold_assign(spark, sf), ["n", "n_demented", "n_one", "n_ambiguous", "n_none", "n_cn"])
+
+
+def image_state_ages(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean age of the sessions with one image, several, and none."""
+    state = F.when(F.col("image_ambiguous"), "ambiguous").when(F.col("image_available"), "one").otherwise("none")
+    return _attached(spark, sf).groupBy(state.alias("state")).agg(F.count("*").alias("n"), F.round(F.avg("age"), 6).alias("mean_age"))
+
+
 def files_without_record(spark: SparkSession, sf: str) -> DataFrame:
     return joins.absent(_images(spark, sf), sessions(spark, sf), "raw_id").select("raw_id")
 
@@ -250,6 +272,7 @@ QUERIES = {
     "confusion": confusion, "report": report, "auc": auc, "roc_points": roc_points, "bootstrap_ba": bootstrap_ba, "bootstrap_diff": bootstrap_diff,
     "ambiguous_images": ambiguous_images, "availability": availability, "availability_by_fold": availability_by_fold,
     "missing_vs_present": missing_vs_present, "files_without_record": files_without_record,
+    "image_states": image_states, "image_states_by_fold": image_states_by_fold, "image_state_ages": image_state_ages,
     "group_means": group_means, "describe": describe, "correlations": correlations, "group_deltas": group_deltas,
     "severity_sensitivity": severity_sensitivity, "site_counts": site_counts, "suffix_join": suffix_join, "lookup_join": lookup_join,
     "shuffle_global": shuffle_global, "shuffle_within_fold": shuffle_within_fold,

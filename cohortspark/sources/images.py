@@ -46,10 +46,14 @@ def assert_unambiguous(images: DataFrame) -> DataFrame:
 
 
 def attach_images(manifest: DataFrame, images: DataFrame) -> DataFrame:
-    """`manifest` with image_path ('' where there is none) and image_available, by raw_id as it is written."""
-    one = images.select("raw_id", "image_path")
-    joined = manifest.join(one, "raw_id", "left")
-    return joined.withColumns({"image_available": F.col("image_path").isNotNull(), "image_path": F.coalesce("image_path", F.lit(""))})
+    """`manifest` with image_path ('' where there isn't just one), image_available and image_ambiguous, by raw_id as it is written.
+
+    A session with several images has some, so it is available, and ambiguous.
+    """
+    joined = manifest.join(images.select("raw_id", "n_images", "image_path"), "raw_id", "left")
+    n = F.coalesce("n_images", F.lit(0))
+    path = F.when(n == 1, F.col("image_path")).otherwise(F.lit(""))
+    return joined.withColumns({"image_available": n >= 1, "image_ambiguous": n > 1, "image_path": path}).drop("n_images")
 
 
 def list_files(spark, root: str, pattern: str = "*") -> DataFrame:

@@ -172,6 +172,14 @@ def test_images(spark):
         images.image_pattern("unknown")
 
 
+def test_several_images_are_not_none(spark):
+    found = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "raw_id string, n_images bigint, image_path string")
+    attached = images.attach_images(spark.createDataFrame([("a", 0, 1), ("b", 1, 1), ("c", 0, 1)], "raw_id string, label int, fold int"), found)
+    assert {r.raw_id: (r.image_path, r.image_available, r.image_ambiguous) for r in attached.collect()} == {"a": ("x", True, False), "b": ("", True, True), "c": ("", False, False)}
+    r = reports.image_states_by(attached, "fold").first()
+    assert (r.n, r.n_demented, r.n_one, r.n_ambiguous, r.n_none, r.n_cn) == (3, 1, 1, 1, 1, 2)
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, 1.0), (1, 5.0, None), (1, float("nan"), 4.0), (None, 1.0, 1.0)], "label int, a double, b double")
     assert [tuple(r) for r in reports.value_counts(df, ["label"], share=True).collect()] == [(0, 2, 0.5), (1, 2, 0.5)]
