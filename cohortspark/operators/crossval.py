@@ -1,28 +1,24 @@
-"""Out-of-fold and nested cross-validation: every fit is one group of one job."""
+"""Out-of-fold and nested cross-validation: all fits go through the rows together."""
 
 from __future__ import annotations
 
 from dataclasses import asdict
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cohortspark.operators.fits import fit_folds
 from cohortspark.operators.folds import assert_no_subject_leakage
-from cohortspark.operators.logistic import Model, Recipe, fit_large, linear_score
+from cohortspark.operators.logistic import Recipe
 from cohortspark.operators.manifest import require_columns
 from cohortspark.operators.reports import argmax_first
-from cohortspark.plans.shared import ship, written
+from cohortspark.plans.shared import written
 
-#: A grouped fit's rows come together in one task. Cross-validation of more rows fits every fold with Spark ML; nested
-#: selection, with its hundreds of fits, refuses them.
-MAX_TRAINING_ROWS = 200_000
-_SCORED = T.StructType([T.StructField("outer", T.IntegerType()), T.StructField("inner", T.IntegerType()), T.StructField("grid", T.IntegerType()), T.StructField("row", T.LongType()), T.StructField("y_score", T.DoubleType())])
+#: Rows of any number are fitted, in one way: nothing reads this. The name stays for those who set it.
+MAX_TRAINING_ROWS = float("inf")
 
 
-def _guarded(df: DataFrame, features: list[str], label: str, most: float = MAX_TRAINING_ROWS) -> tuple[DataFrame, list[int]]:
+def _guarded(df: DataFrame, features: list[str], label: str) -> tuple[DataFrame, list[int]]:
     require_columns(df, [*features, label, "subject_id", "fold"])
     assert_no_subject_leakage(df)
     x = F.array(*[F.col(f).cast("double") for f in features])
@@ -31,50 +27,34 @@ def _guarded(df: DataFrame, features: list[str], label: str, most: float = MAX_T
     if any(r["bad"] for r in per):
         raise ValueError("features hold null or not-a-number")
     n, p = sum(r["n"] for r in per), sum(r["p"] for r in per)
-    if n > most:
-        raise ValueError(f"{n} rows for fits of at most {most}")
     for r in per:
         if p - r["p"] in (0, n - r["n"]):
             raise ValueError(f"without fold {r['fold']} the training rows hold a single class")
-    rows = df.withColumn("_row", F.monotonically_increasing_id())  # fixed by the written table
-    return written(rows.withColumn("_x", x), "crossval-rows"), [r["fold"] for r in per]
+    return written(df.withColumns({"_x": x, "_y": F.col(label).cast("int")}), "crossval-rows"), [r["fold"] for r in per]
 
 
-def _scores(rows: DataFrame, tasks: list[tuple[int, int, int]], grid: list[Recipe], label: str) -> DataFrame:
-    """Scores of every task (outer, inner, grid): fitted outside both folds, scored inside the inner, or the outer if -1."""
-    spark = rows.sparkSession
-    ship(spark)
-    plan = F.broadcast(spark.createDataFrame(tasks, "outer int, inner int, grid int"))  # folds² x grid rows
-    tested = F.when(F.col("inner") >= 0, F.col("inner")).otherwise(F.col("outer"))
-    sent = rows.select("fold", "_row", "_x", F.col(label).cast("int").alias("_y")).join(plan, (F.col("inner") < 0) | (F.col("fold") != F.col("outer")))
-    sent = sent.withColumn("_test", F.col("fold") == tested)
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_row")
-        x, y, test = np.stack(part["_x"].to_numpy()).astype(float), part["_y"].to_numpy(), part["_test"].to_numpy()
-        score = Model(x[~test], y[~test], grid[key[2]]).score(x[test])
-        return pd.DataFrame({"outer": key[0], "inner": key[1], "grid": key[2], "row": part["_row"].to_numpy()[test], "y_score": score})
-
-    return sent.groupBy("outer", "inner", "grid").applyInPandas(fit, _SCORED)
+def _scores(rows: DataFrame, folds: list[int], tasks: list[tuple[int, int, int]], grid: list[Recipe]) -> DataFrame:
+    """`rows` with outer, inner, grid and y_score for every task that scores them: fitted outside both folds, scored inside
+    the inner, or the outer if -1. Tasks that leave out the same folds share a fit."""
+    keys = [(frozenset({o} if i == -1 else {o, i}), g) for o, i, g in tasks]
+    fits = list(dict.fromkeys(keys))
+    center, found = fit_folds(rows, folds, [(out, grid[g]) for out, g in fits])
+    model = dict(zip(fits, found))
+    plan = [(i if i >= 0 else o, o, i, g, model[k][0].tolist(), model[k][1]) for (o, i, g), k in zip(tasks, keys)]
+    plan = F.broadcast(rows.sparkSession.createDataFrame(plan, "_tested int, _outer int, _inner int, _grid int, _w array<double>, _b double"))  # at most folds² x grid rows
+    away = F.zip_with("_x", F.array(*map(F.lit, center.tolist())), lambda v, m: v - m)
+    logit = F.aggregate(F.zip_with(away, "_w", lambda v, w: v * w), F.col("_b"), lambda a, v: a + v)
+    return rows.join(plan, F.col("fold") == F.col("_tested")).withColumn("y_score", 1 / (1 + F.exp(-logit)))
 
 
 def cross_validate(df: DataFrame, features: list[str], recipe: Recipe | None = None, label: str = "label") -> DataFrame:
     """`df` with y_score and y_pred, each row scored by the model that was fitted without its fold.
 
-    Raises for missing columns, missing values, subjects in two folds, and training rows of one class. Beyond
-    MAX_TRAINING_ROWS each fold is one distributed fit; the recipe must then use all columns as they are.
+    Raises for missing columns, missing values, subjects in two folds, and training rows of one class.
     """
-    rows, folds = _guarded(df, features, label, float("inf"))
-    recipe = recipe or Recipe()
-    if rows.count() > MAX_TRAINING_ROWS:
-        if recipe.k is not None or recipe.components is not None:
-            raise ValueError(f"more than {MAX_TRAINING_ROWS} rows can't be fitted with selected or combined columns")
-        score = F.lit(None).cast("double")
-        for k in folds:
-            score = F.when(F.col("fold") == k, linear_score(fit_large(rows.where(F.col("fold") != k), features, label, recipe.c))).otherwise(score)
-        return rows.withColumn("y_score", score).withColumn("y_pred", (F.col("y_score") > 0.5).cast("int")).select(*df.columns, "y_score", "y_pred")
-    scores = _scores(rows, [(k, -1, 0) for k in folds], [recipe], label)
-    return rows.join(scores.select(F.col("row").alias("_row"), "y_score"), "_row").withColumn("y_pred", (F.col("y_score") > 0.5).cast("int")).select(*df.columns, "y_score", "y_pred")
+    rows, folds = _guarded(df, features, label)
+    scored = _scores(rows, folds, [(k, -1, 0) for k in folds], [recipe or Recipe()])
+    return scored.withColumn("y_pred", (F.col("y_score") > 0.5).cast("int")).select(*df.columns, "y_score", "y_pred")
 
 
 def _subject_metric(scored: DataFrame, by: list[str], threshold: float) -> DataFrame:
@@ -91,17 +71,16 @@ def select_recipes(df: DataFrame, features: list[str], grid: list[Recipe], label
     Inner scores are balanced accuracies of subjects at 0.5; ties go to the earlier recipe.
     """
     rows, folds = _guarded(df, features, label)
-    return _select(rows, folds, grid, label)
+    return _select(rows, folds, grid)
 
 
-def _select(rows: DataFrame, folds: list[int], grid: list[Recipe], label: str) -> tuple[DataFrame, DataFrame]:
+def _select(rows: DataFrame, folds: list[int], grid: list[Recipe]) -> tuple[DataFrame, DataFrame]:
     if not grid:
         raise ValueError("the grid is empty")
     if len(folds) < 3:
         raise ValueError("nested selection needs three folds")
     tasks = [(o, i, g) for o in folds for i in folds if i != o for g in range(len(grid))]
-    scores = _scores(rows, tasks, grid, label).withColumnRenamed("row", "_row")
-    scored = scores.join(rows.select("_row", "subject_id", F.col(label).alias("_label")), "_row")
+    scored = _scores(rows, folds, tasks, grid).select("subject_id", F.col("_outer").alias("outer"), F.col("_inner").alias("inner"), F.col("_grid").alias("grid"), "y_score", F.col("_y").alias("_label"))
     trace = _subject_metric(scored, ["outer", "inner", "grid"], 0.5).groupBy("outer", "grid").agg(F.avg("score").alias("mean_score"))
     trace = written(trace, "selection-trace")
     return argmax_first(trace, ["outer"], "mean_score", "grid"), trace
@@ -110,11 +89,10 @@ def _select(rows: DataFrame, folds: list[int], grid: list[Recipe], label: str) -
 def nested_cross_validate(df: DataFrame, features: list[str], grid: list[Recipe], label: str = "label", threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(subject predictions, selections): each outer fold scored by the recipe that its inner folds chose."""
     rows, folds = _guarded(df, features, label)
-    selections, _ = _select(rows, folds, grid, label)
+    selections, _ = _select(rows, folds, grid)
     chosen = [(r["outer"], -1, r["grid"]) for r in selections.collect()]  # one row per fold
-    scores = _scores(rows, chosen, grid, label).withColumnRenamed("row", "_row")
-    scored = scores.join(rows.select("_row", "subject_id", "fold", F.col(label).alias("_label")), "_row")
-    per = scored.groupBy("subject_id").agg(F.min("_label").alias("label"), F.min("fold").alias("fold"), F.avg("y_score").alias("y_score"), F.count("*").alias("n_rows"))
+    scored = _scores(rows, folds, chosen, grid)
+    per = scored.groupBy("subject_id").agg(F.min(label).alias("label"), F.min("fold").alias("fold"), F.avg("y_score").alias("y_score"), F.count("*").alias("n_rows"))
     params = df.sparkSession.createDataFrame([(i, *[str(v) for v in asdict(r).values()]) for i, r in enumerate(grid)], "grid int, " + ", ".join(f"{k} string" for k in asdict(grid[0])))
     return per.withColumn("y_pred", (F.col("y_score") >= threshold).cast("int")), selections.join(F.broadcast(params), "grid")
 

@@ -1,6 +1,6 @@
-"""Standardised, class-balanced, L2-regularised logistic regression on small training sets, as NumPy in grouped tasks.
+"""Standardised, class-balanced, L2-regularised logistic regression: one fit of rows in memory, as NumPy.
 
-One fit takes one fold's rows at most. For one large fit use `fit_large`, which is Spark ML with the same objective.
+For one large fit use `fit_large`, which is Spark ML with the same objective; the fits of cross-validation are in `fits`.
 """
 
 from __future__ import annotations

@@ -174,6 +174,21 @@ def test_distributed_and_grouped_fits_agree(spark, monkeypatch):
     assert all(abs(small[k] - large[k]) < 1e-3 for k in small)
 
 
+def test_fits_of_any_size_are_those_of_one_model(spark, monkeypatch):
+    monkeypatch.setattr(crossval, "MAX_TRAINING_ROWS", 10)
+    rng = np.random.default_rng(5)
+    data = [(f"S{i}", i % 2, (i // 2) % 4, *(float(v) for v in rng.normal(i % 2 * 0.5, 1, 4) * [1, 9, 1, 1] + [0, 500, 0, 0]), float(i // 2 % 4 == 3)) for i in range(120)]
+    names = ["a", "b", "c", "d", "flat"]
+    df = spark.createDataFrame(data, "subject_id string, label int, fold int, a double, b double, c double, d double, flat double")
+    x, y, fold = np.array([r[3:] for r in data]), np.array([r[1] for r in data]), np.array([r[2] for r in data])
+    for recipe in (Recipe(c=0.1), Recipe(k=2), Recipe(components=2), Recipe(c=5.0, k=4, components=1, keep=1)):
+        got = {r.subject_id: r.y_score for r in crossval.cross_validate(df, names, recipe).collect()}
+        for k in range(4):
+            want = logistic.Model(x[fold != k], y[fold != k], recipe).score(x[fold == k])
+            assert np.allclose([got[f"S{i}"] for i in np.flatnonzero(fold == k)], want, atol=1e-7), recipe
+    assert crossval.nested_cross_validate(df, names, [Recipe(c=0.01), Recipe(k=2)])[0].count() == 120
+
+
 def test_nested(spark):
     df = cv_frame(spark, 3, 20)
     rows = df.union(df.withColumn("feat_b", F.col("feat_b") + 1))
