@@ -81,6 +81,12 @@ def image_states_by(df: DataFrame, group: str) -> DataFrame:
     return per.withColumn("n_cn", F.col("n") - F.col("n_demented"))
 
 
+def exclusions(conflicted: DataFrame) -> DataFrame:
+    """Subjects and slices by conflict, of subjects with nl labels, nf folds and n_slices."""
+    conflicts = (F.col("nl") > 1).alias("label_conflict"), (F.col("nf") > 1).alias("fold_conflict")
+    return conflicted.groupBy(*conflicts).agg(F.count("*").alias("n_subjects"), F.sum("n_slices").alias("n_slices"))
+
+
 def argmax_first(trace: DataFrame, group: list[str], score: str, index: str) -> DataFrame:
     """Per group the row with the highest score; of equals the one with the smallest index."""
     rest = [c for c in trace.columns if c not in group]

@@ -69,10 +69,19 @@ def slice_leakage(spark: SparkSession, sf: str) -> DataFrame:
     return folds.conflicts(_slices(spark, sf), "subject_id", "fold")
 
 
+def _conflicted(rows: DataFrame) -> DataFrame:
+    """Subjects of slices with several labels (nl) or folds (nf), with their number of slices."""
+    return rows.groupBy("subject_id").agg(F.count_distinct("label").alias("nl"), F.count_distinct("fold").alias("nf"), F.count("*").alias("n_slices")).where("nl > 1 or nf > 1")
+
+
 def _clean_slices(spark: SparkSession, sf: str) -> DataFrame:
     rows = _slices(spark, sf)
-    bad = rows.groupBy("subject_id").agg(F.count_distinct("label").alias("nl"), F.count_distinct("fold").alias("nf")).where("nl > 1 or nf > 1")
-    return joins.absent(rows, bad, "subject_id")
+    return joins.absent(rows, _conflicted(rows), "subject_id")
+
+
+def slice_exclusions(spark: SparkSession, sf: str) -> DataFrame:
+    """What the queries over slices leave out: subjects, and their slices, by whether labels or folds conflict."""
+    return reports.exclusions(_conflicted(_slices(spark, sf)))
 
 
 def _aggregated(method: str):
@@ -267,7 +276,7 @@ QUERIES = {
     "ranked_sites": ranked_sites, "top_sessions": top_sessions, "label_pairs": label_pairs, "slice_subjects_without_sessions": slice_subjects_without_sessions,
     "aligned_predictions": aligned_predictions,
     "fold_summary": fold_summary, "manifest_build": manifest_build, "manifest_violations": manifest_violations, "cohort_filter": cohort_filter,
-    "fold_assign": fold_assign, "label_conflicts": label_conflicts, "slice_leakage": slice_leakage,
+    "fold_assign": fold_assign, "label_conflicts": label_conflicts, "slice_leakage": slice_leakage, "slice_exclusions": slice_exclusions,
     "agg_mean": _aggregated("mean"), "agg_median": _aggregated("median"), "agg_max": _aggregated("max"), "slice_agreement": agreement,
     "confusion": confusion, "report": report, "auc": auc, "roc_points": roc_points, "bootstrap_ba": bootstrap_ba, "bootstrap_diff": bootstrap_diff,
     "ambiguous_images": ambiguous_images, "availability": availability, "availability_by_fold": availability_by_fold,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.ids import session_key, subject_key
 from cohortspark.operators import aggregate, controls, folds, joins, manifest, metrics, reports
+from cohortspark.plans import cohort_queries
 from cohortspark.sources import images
 
 
@@ -180,6 +181,13 @@ def test_several_images_are_not_none(spark):
     assert (r.n, r.n_demented, r.n_one, r.n_ambiguous, r.n_none, r.n_cn) == (3, 1, 1, 1, 1, 2)
 
 
+def test_excluded_subjects_are_counted(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 0, 0), ("a", 1, 0), ("b", 1, 0), ("b", 1, 1), ("b", 1, 2), ("c", 0, 0), ("c", 1, 1), ("d", 0, 3)], "subject_id string, label int, fold int")
+    monkeypatch.setattr(cohort_queries, "_slices", lambda spark, sf: rows)
+    got = {(r.label_conflict, r.fold_conflict): (r.n_subjects, r.n_slices) for r in cohort_queries.slice_exclusions(spark, "").collect()}
+    assert got == {(True, False): (1, 2), (False, True): (1, 3), (True, True): (1, 2)}
+
+
 def test_reports(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (0, 3.0, 1.0), (1, 5.0, None), (1, float("nan"), 4.0), (None, 1.0, 1.0)], "label int, a double, b double")
     assert [tuple(r) for r in reports.value_counts(df, ["label"], share=True).collect()] == [(0, 2, 0.5), (1, 2, 0.5)]
