@@ -28,11 +28,11 @@ def subject_report(scored: DataFrame, name: str, n_boot: int = 2000) -> tuple:
 def evaluate_sets(df: DataFrame, sets: dict[str, list[str]], control: str | None = None, recipe: Recipe | None = None, n_boot: int = 2000) -> DataFrame:
     """One row per feature set, cross-validated over the frame's folds; with `control` also that set under shuffled labels.
 
-    Labels are shuffled within folds, so the control isn't biased below chance.
+    Labels are shuffled among the subjects of each fold, so the control isn't biased below chance.
     """
     rows = [subject_report(crossval.cross_validate(df, features, recipe), name, n_boot) for name, features in sets.items()]
     if control is not None:
-        shuffled = controls.shuffle_labels(df, "subject_id", within="fold")
+        shuffled = controls.shuffle_by_subject(df, within="fold")
         rows.append(subject_report(crossval.cross_validate(shuffled, sets[control], recipe), f"{control} (shuffled)", n_boot))
     return df.sparkSession.createDataFrame(rows, RESULT)
 

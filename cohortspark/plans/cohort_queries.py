@@ -243,6 +243,13 @@ def shuffle_global(spark: SparkSession, sf: str) -> DataFrame:
     return shuffle_labels(fold_assign(spark, sf), "subject_id", "label", SEED)
 
 
+def shuffle_subject(spark: SparkSession, sf: str) -> DataFrame:
+    """Slices with labels dealt anew among subjects."""
+    from cohortspark.operators.controls import shuffle_by_subject
+
+    return shuffle_by_subject(_clean_slices(spark, sf), "label", SEED)
+
+
 def ranked_sites(spark: SparkSession, sf: str) -> DataFrame:
     """Sites by mean age of their records, best first, with the number of distinct subjects and batches."""
     records = table(spark, sf, "subject_records").withColumn("who", subject_key(F.col("subject_id"), F.col("raw_id")))
@@ -284,5 +291,5 @@ QUERIES = {
     "image_states": image_states, "image_states_by_fold": image_states_by_fold, "image_state_ages": image_state_ages,
     "group_means": group_means, "describe": describe, "correlations": correlations, "group_deltas": group_deltas,
     "severity_sensitivity": severity_sensitivity, "site_counts": site_counts, "suffix_join": suffix_join, "lookup_join": lookup_join,
-    "shuffle_global": shuffle_global, "shuffle_within_fold": shuffle_within_fold,
+    "shuffle_global": shuffle_global, "shuffle_within_fold": shuffle_within_fold, "shuffle_subject": shuffle_subject,
 }

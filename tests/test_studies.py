@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortspark.operators import studies
+from cohortspark.operators import controls, studies
 from cohortspark.operators.logistic import Recipe
 
 
@@ -18,6 +18,17 @@ def test_sets_and_control(spark):
     assert 0.2 < got["a (shuffled)"].balanced_accuracy < 0.8 and abs(got["a"].auc_delta - (got["a"].auc - 0.756)) < 1e-9
 
 
+def test_control_of_subjects_with_several_rows(spark):
+    df = frame(spark, 4, 15)
+    slices = df.union(df.withColumn("a", F.col("a") + 0.1))
+    dealt = controls.shuffle_by_subject(slices, seed=3)
+    per = dealt.groupBy("subject_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.min("label").alias("label")).collect()
+    assert {(r.n, r.labels) for r in per} == {(2, 1)} and sum(r.label for r in per) == 15
+    assert dealt.join(slices.select("subject_id", F.col("label").alias("old")), "subject_id").where("label != old").count() > 0
+    got = {r.name: r.n for r in studies.evaluate_sets(slices, {"a": ["a"]}, control="a", n_boot=50).collect()}
+    assert got == {"a": 30, "a (shuffled)": 30}
+
+
 def test_comparison_collinearity_and_refit(spark):
     df = frame(spark, 3).withColumn("c", F.col("a") * 2)
     ranked = studies.compare_recipes(df, {"good": ["a"], "bad": ["b"]}, {"good": [Recipe(c=1.0)], "bad": [Recipe(c=1.0, k=5)]}, n_boot=50).collect()
