@@ -34,6 +34,20 @@ def merged(state: DataFrame, groups: dict[str, Column]) -> DataFrame:
     return state.groupBy(*[c.alias(g) for g, c in groups.items()], "field_name", "value").agg(F.sum("n").alias("n"))
 
 
+def trailing(state: DataFrame, day: str, length: int) -> DataFrame:
+    """The state of running unions: under each day the counts of the `length` days that end with it, of its other groups.
+
+    Every calendar day whose span holds a value has a state, also one without rows of its own; rows without a day form a
+    group of their own, once. Counts of equal values are added before they are shuffled.
+    """
+    if length < 1:
+        raise ValueError("length must be at least 1")
+    reach = F.when(F.col(day).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(length - 1)))
+    keys = [c for c in state.columns if c != "n"]
+    spread = state.select(*[c for c in keys if c != day], "n", day, F.explode(reach).alias("_later")).withColumn(day, F.date_add(day, F.col("_later")))
+    return spread.groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
 def _running_counts(keys: list[str]):
     """Within a sorted partition: the count of rows of the same group up to and with each row."""
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.functions.cells import on_scale, present
 from cohortspark.functions.ids import session_key, subject_key
 from cohortspark.llm import leaks, mixing, percentiles, sentences, splits, survivor
+from cohortspark.plans.shared import written
 from cohortspark.sources.tables import table
 
 P1_FIELDS = ["nwbv", "etiv", "cdr", "age"]
@@ -21,8 +24,16 @@ def _state(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    result = percentiles.exact_percentiles(_state(spark, sf), ["site", "batch_day"], P1_PERCENTS)
-    return result.withColumn("batch_day", F.col("batch_day").cast("string"))
+    """Of each site: every day, every run of seven days and every month, from one state of days.
+
+    `days` is the span (1, 7, month), `last_day` the calendar day it ends with.
+    """
+    state = written(_state(spark, sf), "percentile-days")
+    rest = [c for c in state.columns if c != "batch_day"]
+    spans = {"1": state, "7": percentiles.trailing(state, "batch_day", 7), "month": percentiles.merged(state, {"site": F.col("site"), "batch_day": F.last_day("batch_day")})}
+    parts = [s.select(F.lit(k).alias("days"), F.col("batch_day").alias("last_day"), *rest) for k, s in spans.items()]
+    result = percentiles.exact_percentiles(reduce(DataFrame.unionByName, parts), ["days", "site", "last_day"], P1_PERCENTS)
+    return result.withColumn("last_day", F.col("last_day").cast("string"))
 
 
 def p1_union_percentiles(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,12 +130,23 @@ QUERIES = {
 def _percentile_sql(groups: str) -> str:
     columns = ", ".join(f"quantile_cont(value, {p / 100}) AS p{p:g}" for p in P1_PERCENTS)
     long = " UNION ALL ".join(f"SELECT *, '{f}' AS field_name, CAST({f} AS DOUBLE) AS value FROM r WHERE {f} IS NOT NULL AND NOT isnan(CAST({f} AS DOUBLE))" for f in P1_FIELDS)
-    picked = {"site": "site", "batch_day": "CAST(batch_day AS VARCHAR) AS batch_day", "month": "CAST(CAST(date_trunc('month', batch_day) AS DATE) AS VARCHAR) AS month"}
+    picked = {"site": "site", "month": "CAST(CAST(date_trunc('month', batch_day) AS DATE) AS VARCHAR) AS month"}
     names = [g for g in groups.split(", ") if g]
     select = "".join(f"{picked[g]}, " for g in names)
     return f"WITH r AS (SELECT site, batch_day, nwbv, etiv, cdr, age FROM subject_records), l AS ({long}) SELECT {select}field_name, count(*) AS n, CAST(0 AS DOUBLE) AS error_bound, {columns} FROM l GROUP BY ALL"
 
 
+def _span_sql() -> str:
+    """Days, runs of seven days and months, each as rows of values under the last day."""
+    columns = ", ".join(f"quantile_cont(value, {p / 100}) AS p{p:g}" for p in P1_PERCENTS)
+    long = " UNION ALL ".join(f"SELECT site, batch_day, '{f}' AS field_name, CAST({f} AS DOUBLE) AS value FROM subject_records WHERE {f} IS NOT NULL AND NOT isnan(CAST({f} AS DOUBLE))" for f in P1_FIELDS)
+    return f"""WITH l AS ({long}),
+s AS (SELECT '1' AS days, site, CAST(batch_day AS DATE) AS last_day, field_name, value FROM l
+  UNION ALL SELECT '7', site, CAST(batch_day AS DATE) + CAST(k AS INTEGER), field_name, value FROM l, range(7) AS r(k) WHERE batch_day IS NOT NULL OR k = 0
+  UNION ALL SELECT 'month', site, last_day(batch_day), field_name, value FROM l)
+SELECT days, site, CAST(last_day AS VARCHAR) AS last_day, field_name, count(*) AS n, CAST(0 AS DOUBLE) AS error_bound, {columns} FROM s GROUP BY ALL"""
+
+
 _DIGITS = "translate({}, '０１２３４５６７８９', '0123456789')"
 _SUBJECT_SQL = "NULLIF(regexp_extract(" + _DIGITS + r", '(?i)oas[^0-9]*0*1[^0-9]+([0-9]+)', 1), '')"
 _SESSION_SQL = "NULLIF(regexp_extract(" + _DIGITS + r", '(?i)mr[^0-9]*([0-9]+)', 1), '')"
@@ -155,7 +177,7 @@ QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY source_ran
 """
 
 ORACLES = {
-    "p1_percentiles": _percentile_sql("site, batch_day"),
+    "p1_percentiles": _span_sql(),
     "p1_union_percentiles": _percentile_sql("site, month"),
     "p1_overall_percentiles": _percentile_sql(""),
     "p4_found": _P4_FOUND,

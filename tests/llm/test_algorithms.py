@@ -31,6 +31,22 @@ def test_percentiles_of_days_and_unions(spark):
     assert percentiles.exact_percentiles(days.limit(0), ["site", "day"], [50]).count() == 0
 
 
+def test_trailing_days(spark):
+    rng = random.Random(6)
+    start = dt.date(2024, 2, 26)
+    rows = [(rng.choice(["hot"] * 8 + ["b"]), rng.choice([None, *[start + dt.timedelta(i) for i in (0, 1, 4, 5, 11)]]), float(rng.randint(0, 4))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "site string, day date, x double")
+    state = percentiles.value_counts(df, {"site": F.col("site"), "day": F.col("day")}, ["x"])
+    want = Counter()
+    for site, day, x in rows:
+        for k in range(3 if day else 1):
+            want[site, day + dt.timedelta(k) if day else None, x] += 1
+    got = {(r.site, r.day, r.value): r.n for r in percentiles.trailing(state, "day", 3).collect()}
+    assert got == want and percentiles.trailing(state.limit(0), "day", 3).count() == 0
+    with pytest.raises(ValueError):
+        percentiles.trailing(state, "day", 0)
+
+
 def components_by_hand(edges):
     parent = {}
 
