@@ -68,22 +68,33 @@ def p4_split_report(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_report(p4_splits(spark, sf))
 
 
-def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+def _resolved(spark: SparkSession, sf: str) -> survivor.Resolution:
+    """Sources are the sites' deliveries of one rank: subjects mostly stay with a site, whose deliveries differ in trust."""
     c = F.col
     records = table(spark, sf, "subject_records").select(
-        "record_id", "site", "source_rank", "updated_at", "education", "ses", "mmse", "cdr", "nwbv",
+        "record_id", F.concat_ws("/", "site", "source_rank").alias("source"), "source_rank", "updated_at", "education", "ses", "mmse", "cdr", "nwbv",
         subject_key(c("subject_id"), c("raw_id")).alias("subject"), session_key(c("session_id"), c("raw_id")).alias("session"),
     )
     fields = {"education": on_scale(c("education"), 1, 5), "ses": on_scale(c("ses"), 1, 5), "mmse": on_scale(c("mmse"), 0, 30), "cdr": present(c("cdr")), "nwbv": present(c("nwbv"))}
-    return survivor.resolve(records, ["subject", "session"], fields)
+    return survivor.resolve(records, ["subject", "session"], fields, source="source")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _resolved(spark, sf).where("survives").select("group_id", "field_name", "record_id")
+    return _resolved(spark, sf).facts.where("survives").select("group_id", "field_name", "record_id")
 
 
 def p5_judged_values(spark: SparkSession, sf: str) -> DataFrame:
-    return _resolved(spark, sf).where("judged_true").select("group_id", "field_name", "value", "record_id", "n_records", "p_true")
+    """What the sources say, without the order of ranks and dates."""
+    return _resolved(spark, sf).facts.where("judged_true").select("group_id", "field_name", "value", "record_id", "n_records", "p_true")
+
+
+def p5_source_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return _resolved(spark, sf).report()
+
+
+def p5_overruled(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the order of p5_found and the sources' quality choose different values."""
+    return survivor.overruled(_resolved(spark, sf).facts)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,6 +130,8 @@ QUERIES = {
     "p4_split_report": p4_split_report,
     "p5_found": p5_found,
     "p5_judged_values": p5_judged_values,
+    "p5_source_quality": p5_source_quality,
+    "p5_overruled": p5_overruled,
     "p6_found": p6_found,
     "p6_leaked_items": p6_leaked_items,
     "p7_mix": p7_mix,

@@ -108,10 +108,10 @@ def test_splits(spark):
 SCHEMA = "record_id long, who string, visit string, site string, source_rank int, updated_at timestamp, x double, y double, value string, group_id string"
 
 
-def resolved(spark, rows):
+def resolved(spark, rows, **options):
     df = spark.createDataFrame(rows, SCHEMA)
     fields = {n: F.when(~F.isnan(n), F.col(n)) for n in ("x", "y")}
-    return survivor.resolve(df, ["who", "visit"], fields)
+    return survivor.resolve(df, ["who", "visit"], fields, **options)
 
 
 def test_survivors(spark):
@@ -132,28 +132,73 @@ def test_survivors(spark):
                 if held:
                     best = min(held, key=lambda m: (m[4] if m[4] is not None else 99, -(m[5].timestamp() if m[5] else -last.timestamp()), m[0]))
                     want[min(m[0] for m in members), f] = (best[0], best[j])
-    out = resolved(spark, rows).collect()
+    out = resolved(spark, rows).facts.collect()
     got = {(r.group_id, r.field_name): (r.record_id, r.value) for r in out if r.survives}
     assert got == want
-    per = Counter((r.group_id, r.field_name) for r in out)
-    assert all(any(r.judged_true for r in out if (r.group_id, r.field_name) == k) for k in list(per)[:20]) and all(0 <= r.p_true <= 1 for r in out)
+    judged = Counter((r.group_id, r.field_name) for r in out if r.judged_true)
+    assert set(judged) == {(r.group_id, r.field_name) for r in out} and set(judged.values()) == {1} and all(0 <= r.p_true <= 1 for r in out)
 
 
-def test_sources_are_told_apart(spark):
-    rng, rows, i = random.Random(9), [], 0
-    for p in range(600):
+def planted(rng, n, sites):
+    """Records of n visits from sites that tell the truth with given probabilities; a wrong value is over 100."""
+    rows, i = [], 0
+    for p in range(n):
         truth = float(rng.randint(1, 50))
-        for site, right in (("good", 0.97), ("fair", 0.9), ("bad", 0.4)):
+        for site, right in sites:
             i += 1
-            rows.append((i, f"p{p}", "1", site, 1, None, truth if rng.random() < right else float(rng.randint(51, 99)), truth, "", ""))
-    out = resolved(spark, rows).where("field_name = 'x'")
-    assert out.where("judged_true and value <= 50").count() > 570
-    claimed_twice = out.where("n_records = 2 and value <= 50").agg(F.min("p_true")).first()[0]
-    assert claimed_twice > 0.5 and out.where("value > 50 and judged_true").count() < 120
+            rows.append((i, f"p{p}", "1", site, 1, None, truth if rng.random() < right else float(rng.randint(101, 140)), truth, "", ""))
+    return rows
+
+
+def test_planted_wrong_values_are_rejected(spark):
+    found = resolved(spark, planted(random.Random(9), 600, [("good", 0.97), ("bad", 0.4), ("worse", 0.3)]))
+    quality = {(r.field_name, r.source): r for r in found.report().collect()}
+    assert quality["x", "good"].sensitivity > 0.85 > quality["x", "bad"].sensitivity > quality["x", "worse"].sensitivity and found.quality.converged
+    assert quality["x", "good"].specificity > quality["x", "bad"].specificity and len(quality) == 6
+    x = found.facts.where("field_name = 'x'").withColumn("right", F.col("value") <= 50)
+    true, false = x.where("judged_true and right").count(), x.where("judged_true and not right").count()
+    assert true + false == 600 and false < 60
+    outvoted = x.where("n_records = 1 and right").count()
+    assert x.where("n_records = 1 and right and judged_true").count() > 0.8 * outvoted > 50
+    assert found.facts.where("field_name = 'y' and not judged_true").count() == 0
+    report = {r.field_name: r for r in survivor.overruled(found.facts).collect()}
+    assert report["y"].n_overruled == report["y"].n_contested == 0 and report["x"].n_cells == 600 and report["x"].n_contested > 400
+
+
+def test_trust_weighs_the_order_against_the_sources(spark):
+    rows = planted(random.Random(4), 200, [("bad", 0.3), ("good", 0.97), ("fair", 0.9)])  # the bad source comes first
+    right = lambda trust: resolved(spark, rows, trust=trust).facts.where("field_name = 'x' and survives and value <= 50").count()
+    first, weighed, none = right(float("inf")), right(0.5), right(0.0)
+    assert first < 90 and weighed > 170 and none > 170
+    assert survivor.overruled(resolved(spark, rows).facts).where("field_name = 'x'").first().n_overruled > 100
+    assert survivor.overruled(resolved(spark, rows, trust=0.0).facts).where("n_overruled > 0").count() == 0
+
+
+def test_several_true_values_of_a_multi_valued_field(spark):
+    rng, rows = random.Random(8), []
+    for p in range(300):
+        for site in ("a", "b", "c"):
+            for value in (1.0, 2.0):  # both true
+                rows.append((len(rows), f"p{p}", "1", site, 1, None, value, value, "", ""))
+        if rng.random() < 0.3:
+            rows.append((len(rows), f"p{p}", "1", "noise", 1, None, 9.0, 9.0, "", ""))
+    facts = resolved(spark, rows, multi_valued=["x"]).facts
+    counts = {(r.field_name, r.value): r.n for r in facts.where("judged_true").groupBy("field_name", "value").agg(F.count("*").alias("n")).collect()}
+    assert counts["x", 1.0] == counts["x", 2.0] == 300 and ("x", 9.0) not in counts
+    assert sum(n for (f, _), n in counts.items() if f == "y") == 300  # one each
+
+
+def test_more_sources_than_a_word_has_bits(spark):
+    rows = planted(random.Random(3), 4, [(f"s{i:03d}", 0.0 if i < 40 else 1.0) for i in range(150)])
+    found = resolved(spark, rows)
+    assert len(found.quality.sources) == 150
+    assert {(r.value > 50, r.judged_true) for r in found.facts.where("field_name = 'x'").collect()} == {(False, True), (True, False)}
+    by_source = {r.source: r.sensitivity for r in found.report().where("field_name = 'x'").collect()}
+    assert min(by_source[f"s{i:03d}"] for i in range(40, 150)) > max(by_source[f"s{i:03d}"] for i in range(40))
 
 
 def test_no_duplicates_and_none(spark):
     one = [(1, "a", "1", "s", 1, None, 1.0, None, "", "")]
-    assert resolved(spark, one).count() == 0 and resolved(spark, []).count() == 0
-    same = resolved(spark, one * 2 + [(1, "b", "1", None, None, None, None, None, "", "")] * 2).collect()
+    assert resolved(spark, one).facts.count() == 0 and resolved(spark, []).facts.count() == 0 and resolved(spark, []).report().count() == 0
+    same = resolved(spark, one * 2 + [(1, "b", "1", None, None, None, None, None, "", "")] * 2).facts.collect()
     assert [(r.group_id, r.field_name, r.value, r.n_records, r.survives) for r in same] == [(1, "x", 1.0, 2, True)]
