@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 20_000
+#: Rows, and bytes as written, up to which a side may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,15 +38,36 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast where it has at most `max_rows` rows; otherwise as it is, for a shuffle join.
+def _folders(df: DataFrame) -> list:
+    """The folders in which the files of a table lie, with the file system."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = {jvm.org.apache.hadoop.fs.Path(f).getParent() for f in df.inputFiles()}
+    return [(p, p.getFileSystem(conf)) for p in paths]
 
-    Evaluates `df` once, up to one row past the bound; give aggregates or dimension tables only.
+
+def fits_broadcast(table: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """Whether a table that `written` made is within the bounds of a broadcast."""
+    stored = sum(system.getContentSummary(path).getLength() for path, system in _folders(table))
+    max_rows, max_bytes = max_rows or BROADCAST_ROWS, max_bytes or BROADCAST_BYTES
+    return stored <= max_bytes and table.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """The rows of `df`, evaluated once and written; marked for broadcast within the bounds, else left to a shuffle join.
+
+    Give aggregates or dimension tables only.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    side = written(df, "side")
+    return F.broadcast(side) if fits_broadcast(side, max_rows) else side
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made and that nothing will read again; anything outside the shared folder stays."""
+    for df in tables:
+        shared = df.sparkSession._jvm.org.apache.hadoop.fs.Path(shared_dir(df.sparkSession)).toUri().getPath()
+        for path, system in _folders(df):
+            if path.getParent().toUri().getPath() == shared:
+                system.delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
