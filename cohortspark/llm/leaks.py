@@ -1,43 +1,50 @@
 """Evaluation passages that leak into training text: rare n-gram seeds, then Smith-Waterman alignment.
 
-The evaluation items are a stated query set. They are taken in blocks of bounded size, each against all documents, and only
-a block's seeds travel to the tasks. Per block there are two passes over the documents and no shuffle of texts:
-
-1. every document becomes an array of letters; those that hold seeds (n-grams of a passage) are written with their hits;
-2. the seeds' document frequencies over the whole corpus say which seed of each few neighbouring ones is the rarest. A
-   document with some of a passage's rare seeds (LEAST_SEEDS, two at least) is aligned with it. No frequency is too high: a passage that a third of
-   all documents repeat keeps its rarest seeds.
+Items, seeds, their frequencies and the candidates are tables that Spark joins; there is one pass for all items:
+
+1. texts become arrays of letters; every window of a passage is a seed. A bit table of the seeds (of bounded size, the only
+   thing sent to all tasks) lets each document's task drop the windows that no passage has; what is left are narrow rows;
+2. those rows give each seed's document frequency, and a window over each few neighbouring seeds of a passage keeps the
+   rarest that occurs. No frequency is too high: a passage that a third of all documents repeat keeps its rarest seeds;
+3. documents that hold enough of a passage's rare seeds are read again, and the parts of their text where the passage can lie
+   are spread over all tasks and aligned with it. No whole text is shuffled unless candidates are too many to broadcast; then
+   only theirs are.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortspark.llm.letters import is_dense, letters, pieces
-from cohortspark.plans.shared import ship, written
+from cohortspark.plans.shared import checked_broadcast, discard, fits_broadcast, ship, written
 
 #: Letters of a seed, and of one in ideographs and kana.
 SEED, DENSE_SEED = 10, 5
 #: Of so many neighbouring seeds the rarest is kept, so a clean stretch of SEED + NEIGHBOURS - 1 letters always holds one.
 NEIGHBOURS, DENSE_NEIGHBOURS = 4, 2
-#: Share of a passage's rare seeds from which a document is aligned with it. A copy of two fifths of a passage with one word
-#: in seven changed keeps about a fifth of them; most chance meetings of texts share one in thirty.
+#: Share of a passage's rare seeds (two at least) from which a document is aligned with it; 0 aligns every document with any.
+#: A copy of two fifths of a passage with one word in seven changed keeps about a fifth of them; most chance meetings of texts
+#: share one in thirty.
 LEAST_SEEDS = 0.06
-#: Passages whose seeds are sent to the tasks at once (a passage of 300 letters has 300 seeds of 16 bytes).
-BLOCK = 5_000
+#: Bits of the seed table for each seed, and the table's bounds (powers of two; 128 MB at most). A fuller table only lets more
+#: windows through to the join.
+BITS_EACH, LEAST_BITS, MOST_BITS = 512, 20, 30
+#: Candidate pairs for each task of the alignment.
+PAIRS_PER_TASK = 500
 #: Alignment: points of a match, a differing letter, a gap, and for going on after a jump.
 MATCH, DIFFER, GAP, JUMP, DENSE_JUMP = 10, -8, 8, 120, 50
 #: Share of the passage's best possible score from which a document counts as a case.
 LEAST_SCORE = 0.24
+#: Cells of the texts that are aligned side by side.
+_CELLS = 30_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
-_SLOTS = 21
 
 
 def _hashes(codes: np.ndarray, k: int) -> np.ndarray:
@@ -82,111 +89,130 @@ def _windows(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield at, _hashes(codes, k)[at]
 
 
-class Block:
-    """A block's passages: letters, seeds, and which item holds which passage."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        by_text: dict[bytes, list[int]] = {}
-        for item_id, passage in items:
-            codes = letters(passage)
-            if len(codes):
-                by_text.setdefault(codes.tobytes(), []).append(item_id)
-        self.passages = [np.frombuffer(t, np.uint32) for t in by_text]
-        self.items = list(by_text.values())
-        owner = np.repeat(np.arange(len(self.passages)), [len(p) for p in self.passages]) if self.passages else np.zeros(0, np.int64)
-        codes = np.concatenate(self.passages) if self.passages else np.zeros(0, np.uint32)
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in self.passages])]).astype(np.int64)
-        found = list(_windows(codes, owner))
-        at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
-        hashes = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
-        self.seeds, self.seed_of = np.unique(hashes, return_inverse=True)
-        self.passage_of = owner[at] if len(at) else np.zeros(0, np.int64)
-        self.place_of = at - starts[self.passage_of] if len(at) else np.zeros(0, np.int64)
-
-    def slots(self) -> np.ndarray:
-        table = np.zeros(1 << _SLOTS, dtype=bool)
-        table[(self.seeds >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-        return table
-
-    def rare(self, frequency: np.ndarray) -> Rare:
-        """Of each few neighbouring seeds of a passage the rarest that occurs at all."""
-        f = frequency[self.seed_of].astype(np.float64)
-        f[f == 0] = np.inf
-        keep = np.zeros(len(f), dtype=bool)
-        order = np.lexsort((self.place_of, self.passage_of))
-        for p in np.split(order, np.flatnonzero(np.diff(self.passage_of[order])) + 1) if len(order) else []:
-            near = DENSE_NEIGHBOURS if is_dense(self.passages[self.passage_of[p[0]]]).mean() > 0.5 else NEIGHBOURS
-            for i in range(0, len(p), near):
-                some = p[i : i + near]
-                best = some[np.argmin(f[some])]
-                keep[best] = np.isfinite(f[best])
-        chosen = np.flatnonzero(keep)
-        chosen = chosen[np.argsort(self.seed_of[chosen], kind="stable")]
-        begin = np.searchsorted(self.seed_of[chosen], np.arange(len(self.seeds) + 1))
-        return Rare(self.passages, self.items, begin, self.passage_of[chosen], self.place_of[chosen])
-
-
-class Rare:
-    """A block's rare seeds, by seed: the passages and places they come from."""
-
-    def __init__(self, passages, items, begin, passage, place):
-        self.passages, self.items, self.begin, self.passage, self.place = passages, items, begin, passage, place
-        self.least = np.maximum(2, np.bincount(passage, minlength=len(passages)) * LEAST_SEEDS)
+class Bits:
+    """Which of 2 ** bits slots hold a hash; a hash's slot is its head."""
 
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
+
+    def hold(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> np.uint64(64 - self.bits)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+    @staticmethod
+    def of(hashes: DataFrame, column: str, each: int = BITS_EACH) -> Bits:
+        """The table of a column of 64-bit hashes; words are put together by Spark, one row per word that isn't empty."""
+        n = hashes.count()
+        bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, n) * each)))))
+        slot = F.shiftrightunsigned(column, 64 - bits)
+        found = hashes.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+        found = found.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found["word"].to_numpy(np.int64)] = found["bit"].to_numpy(np.int64).astype(np.uint64)
+        return Bits(bits, words)
 
-def alignment(passage: np.ndarray, text: np.ndarray) -> float:
-    """Best local alignment of pieces of the passage, in its order, with the text: share of the best possible score.
 
-    Smith-Waterman by rows, each row at once; an alignment may jump ahead in both, for a price that only pieces of a
-    sentence or more earn back.
+def alignments(passages: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Best local alignment of pieces of each passage, in its order, with its text: share of the best possible score.
+
+    Smith-Waterman by rows of the passages, all pairs of similar size at once; an alignment may jump ahead in both, for a
+    price that only pieces of a sentence or more earn back. Padding matches nothing, so it adds nothing.
     """
-    jump = DENSE_JUMP if is_dense(passage).mean() > 0.5 else JUMP
-    n = len(text)
-    steps = np.arange(1, n + 1, dtype=np.int32) * GAP
-    row = np.zeros(n + 1, dtype=np.int32)
-    best = np.full(n + 1, 0, dtype=np.int32)  # best score that ends before this place, in an earlier row
+    out = np.zeros(len(passages))
+    order = sorted(range(len(passages)), key=lambda i: (len(texts[i]), len(passages[i])))
+    while order:
+        width = len(texts[order[-1]])
+        some = order[-max(1, _CELLS // max(1, width)) :]
+        del order[-len(some) :]
+        out[some] = _aligned([passages[i] for i in some], [texts[i] for i in some], width)
+    return out
+
+
+def _aligned(passages: list[np.ndarray], texts: list[np.ndarray], n: int) -> np.ndarray:
+    rows, most = len(passages), max(len(p) for p in passages)
+    text, passage = np.full((rows, n), 0xFFFFFFFE, np.uint32), np.full((most, rows, 1), 0xFFFFFFFF, np.uint32)
+    for i, (p, t) in enumerate(zip(passages, texts)):
+        text[i, : len(t)], passage[: len(p), i, 0] = t, p
+    jump = np.array([[DENSE_JUMP if is_dense(p).mean() > 0.5 else JUMP] for p in passages], np.int32)
+    steps = np.arange(1, n + 1, dtype=np.int32) * np.int32(GAP)
+    row, best = np.zeros((rows, n + 1), np.int32), np.zeros((rows, n + 1), np.int32)  # best: score that ends before this place, in an earlier row
+    cell, begin = np.empty((rows, n), np.int32), np.empty((rows, n), np.int32)
     for letter in passage:
-        score = np.where(text == letter, np.int32(MATCH), np.int32(DIFFER))
-        begin = np.maximum(best[:-1] - np.int32(jump), 0)
-        cell = np.maximum(np.maximum(row[:-1], begin) + score, row[1:] - np.int32(GAP))
+        np.subtract(best[:, :-1], jump, out=begin)
+        np.maximum(begin, row[:, :-1], out=begin)
+        np.maximum(begin, 0, out=begin)
+        np.multiply(text == letter, np.int32(MATCH - DIFFER), out=cell)
+        cell += begin
+        cell += np.int32(DIFFER)
+        np.subtract(row[:, 1:], np.int32(GAP), out=begin)
+        np.maximum(cell, begin, out=cell)
         cell += steps
-        np.maximum.accumulate(cell, out=cell)
+        np.maximum.accumulate(cell, axis=1, out=cell)
         cell -= steps
         np.maximum(cell, 0, out=cell)
-        row[1:] = cell
-        np.maximum(best[1:], np.maximum.accumulate(cell), out=best[1:])
-    return float(best[-1]) / (MATCH * len(passage))
+        row[:, 1:] = cell
+        np.maximum.accumulate(cell, axis=1, out=begin)
+        np.maximum(best[:, 1:], begin, out=best[:, 1:])
+    return best[:, -1] / (MATCH * np.array([len(p) for p in passages], float))
+
+
+def alignment(passage: np.ndarray, text: np.ndarray) -> float:
+    return float(alignments([passage], [text])[0]) if len(text) else 0.0
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _text(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode("utf-8")
 
 
-def _hit_batches(block_seeds: np.ndarray, slots: np.ndarray):
+def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(i, letters(p)) for i, p in zip(batch.column("item_id").to_pylist(), batch.column("passage").to_pylist())]
+        found = [(i, p) for i, p in found if len(p)]
+        ids = [int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True) for _, p in found]
+        columns = [pa.array([i for i, _ in found], pa.int64()), pa.array(ids, pa.int64()), pa.array([_text(p) for _, p in found], pa.string()), pa.array([len(p) for _, p in found], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["item_id", "passage_id", "letters", "n_letters"])
+
+
+def _seed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for passage_id, text in zip(batch.column("passage_id").to_pylist(), batch.column("letters").to_pylist()):
+            codes = _codes(text)
+            near = DENSE_NEIGHBOURS if is_dense(codes).mean() > 0.5 else NEIGHBOURS
+            for at, hashes in _windows(codes, np.zeros(len(codes), np.int8)):
+                columns = [pa.array(np.full(len(at), passage_id)), pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int32)), pa.array((at // near).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["passage_id", "seed", "place", "near"])
+
+
+def _hit_batches(bits, fewest: int):
+    """Per document the windows whose seed may be one, with their places; the first of equal ones is marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: Bits = bits.value
         for batch in (piece for whole in batches for piece in pieces(whole, "text")):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            arrays = [letters(t) for t in texts]
+            arrays = [letters(t) for t in batch.column("text").to_pylist()]
             lengths = np.fromiter((len(a) for a in arrays), np.int64, len(arrays))
-            codes = np.concatenate(arrays) if len(arrays) else np.zeros(0, np.uint32)
+            codes = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
             owner = np.repeat(np.arange(len(arrays)), lengths)
             starts = np.cumsum(lengths) - lengths
-            places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for at, hashes in _windows(codes, owner):
-                maybe = np.flatnonzero(slots[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)])
-                index = np.searchsorted(block_seeds, hashes[maybe])
-                hit = block_seeds[np.minimum(index, len(block_seeds) - 1)] == hashes[maybe]
-                places.append(at[maybe[hit]])
-                seeds.append(index[hit])
+                hit = table.hold(hashes)
+                places.append(at[hit])
+                seeds.append(hashes[hit])
             place, seed = np.concatenate(places), np.concatenate(seeds)
-            order = np.argsort(place, kind="stable")
-            place, seed = place[order], seed[order]
-            doc = owner[place] if len(place) else np.zeros(0, np.int64)
-            begin = np.searchsorted(doc, np.arange(len(arrays) + 1))
-            kept = np.flatnonzero(np.diff(begin) >= 2)
-            rows = {
-                "doc_id": batch.column("doc_id").take(pa.array(kept)),
-                "letters": pa.array([arrays[i].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace").decode("utf-8") for i in kept], pa.string()),
-                "seeds": pa.array([seed[begin[i] : begin[i + 1]] for i in kept], pa.list_(pa.int32())),
-                "places": pa.array([place[begin[i] : begin[i + 1]] - starts[i] for i in kept], pa.list_(pa.int32())),
-            }
-            yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+            doc = owner[place]
+            enough = np.bincount(doc, minlength=len(arrays))[doc] >= fewest
+            place, seed, doc = place[enough], seed[enough], doc[enough]
+            order = np.lexsort((place, seed, doc))
+            place, seed, doc = place[order], seed[order], doc[order]
+            first = np.ones(len(doc), bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1])
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(seed.view(np.int64)), pa.array((place - starts[doc]).astype(np.int32)), pa.array(first)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seed", "at", "first"])
 
     return run
 
@@ -201,71 +227,78 @@ def _region(hits: np.ndarray, places: np.ndarray, passage_length: int, n: int) -
     return np.cumsum(mask)[:n] > 0
 
 
-def _aligned_batches(broadcast_rare):
+def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document and candidate passage the letters of the text where the passage can lie."""
+    for batch in (piece for whole in batches for piece in pieces(whole, "text")):
+        rows: dict[str, list] = {"doc_id": [], "passage_id": [], "part": []}
+        for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("passages").to_pylist()):
+            codes = letters(text)
+            for p in found:
+                at, places = (np.array([h[c] for h in p["hits"]], np.int64) for c in ("at", "place"))
+                inside = at < len(codes)  # another text under the same id may be longer
+                rows["doc_id"].append(doc)
+                rows["passage_id"].append(p["passage_id"])
+                rows["part"].append(_text(codes[_region(at[inside], places[inside], p["n_letters"], len(codes))]))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["passage_id"], pa.int64()), pa.array(rows["part"], pa.string())], list(rows))
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (piece for whole in batches for piece in pieces(whole, "part", 500_000)):
+        scores = alignments([_codes(t) for t in batch.column("letters").to_pylist()], [_codes(t) for t in batch.column("part").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("passage_id"), pa.array(scores)], ["doc_id", "passage_id", "score"])
+
+
+def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose id may be in `wanted`; a few others may stay."""
+    spark = docs.sparkSession
+    bits = spark.sparkContext.broadcast(Bits.of(wanted.select(F.xxhash64("doc_id").alias("h")), "h", 32))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare: Rare = broadcast_rare.value
         for batch in batches:
-            out_doc, out_item, out_score = [], [], []
-            doc_ids = batch.column("doc_id").to_pylist()
-            all_seeds, all_places = batch.column("seeds"), batch.column("places")
-            for r in range(batch.num_rows):
-                seeds, at = all_seeds[r].values.to_numpy(), all_places[r].values.to_numpy()
-                count = rare.begin[seeds + 1] - rare.begin[seeds]
-                if not count.any():
-                    continue
-                which = np.repeat(rare.begin[seeds], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                passage, place, hit = rare.passage[which], rare.place[which], np.repeat(at, count)
-                text = None
-                for p in np.flatnonzero(np.bincount(passage, minlength=len(rare.passages)) >= rare.least):
-                    own = passage == p
-                    if len(np.unique(place[own])) < rare.least[p]:
-                        continue
-                    if text is None:
-                        text = np.frombuffer(batch.column("letters")[r].as_py().encode("utf-32-le"), np.uint32)
-                    target = rare.passages[p]
-                    score = alignment(target, text[_region(hit[own], place[own], len(target), len(text))])
-                    for item in rare.items[p]:
-                        out_doc.append(doc_ids[r])
-                        out_item.append(item)
-                        out_score.append(score)
-            yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_item, pa.int64()), pa.array(out_score, pa.float64())], names=["doc_id", "item_id", "score"])
+            kept = batch.filter(pa.array(bits.value.hold(batch.column("h").to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("text")], ["doc_id", "text"])
 
-    return run
+    return docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "doc_id long, text string")
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+def _candidates(spark: SparkSession, hits: DataFrame, seeds: DataFrame, passages: DataFrame, least_seeds: float) -> DataFrame:
+    """(doc_id, passages): per document the passages of which it holds enough rare seeds, with the hits."""
+    frequency = hits.where("first").groupBy("seed").agg(F.count("*").alias("n"))
+    nearest = Window.partitionBy("passage_id", "near").orderBy("n", "place")  # a few neighbouring seeds
+    rare = seeds.join(frequency, "seed").withColumn("r", F.row_number().over(nearest)).where("r = 1").select("passage_id", "seed", "place")
+    rare = written(rare, "leak-rare-seeds")
+    needed = F.greatest(F.lit(2.0), F.count("*") * F.lit(least_seeds)) if least_seeds > 0 else F.lit(1.0)
+    goals = rare.groupBy("passage_id").agg(needed.alias("needed")).join(passages.select("passage_id", "n_letters"), "passage_id")
+    met = hits.join(checked_broadcast(rare), "seed").groupBy("doc_id", "passage_id").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
+    met = met.join(checked_broadcast(goals), "passage_id").where(F.size(F.array_distinct("hits.place")) >= F.col("needed"))
+    return met.groupBy("doc_id").agg(F.collect_list(F.struct("passage_id", "n_letters", "hits")).alias("passages"))
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, least_score: float = LEAST_SCORE, least_seeds: float = LEAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, score): each document that repeats a good part of an item's passage, with the item.
 
     `documents` has doc_id and text, `items` has item_id and passage. score is the alignment's share of the passage's best
-    possible score. Null and empty texts and passages match nothing; items that share a passage count each, repeated rows of
-    an item once; repeated documents count each; other columns are ignored. Whole texts are searched.
+    possible score. A document is aligned with a passage from `least_seeds` of its rare seeds on; at 0 one is enough, and
+    nothing that shares a rare seed is passed over. Null and empty texts and passages match nothing; documents without an id
+    can't be named and are left out; items that share a passage count each, repeated rows of an item once; repeated documents
+    count each; other columns are ignored. Whole texts are searched.
     """
     spark = documents.sparkSession
     ship(spark)
-    ordered = items.where(F.col("passage").isNotNull()).select("item_id", "passage").distinct()
-    n_blocks = -(-max(1, ordered.count()) // BLOCK)
-    blocked = ordered.withColumn("block", F.pmod(F.xxhash64("item_id", "passage"), F.lit(n_blocks)))
-    found = None
-    for b in range(n_blocks):
-        block = Block([(r["item_id"], r["passage"]) for r in blocked.where(F.col("block") == b).orderBy("item_id", "passage").collect()])
-        part = _leaks_of(documents, block, least_score)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _leaks_of(documents: DataFrame, block: Block, least_score: float) -> DataFrame:
-    spark = documents.sparkSession
-    result = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    if not len(block.seeds):
-        return spark.createDataFrame([], result)
-    hit_schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("letters", T.StringType()),
-        T.StructField("seeds", T.ArrayType(T.IntegerType())), T.StructField("places", T.ArrayType(T.IntegerType())),
-    ])
-    docs = documents.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    hits = written(docs.mapInArrow(_hit_batches(block.seeds, block.slots()), hit_schema), "leak-hits")
-    counted = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).toPandas()  # one row per seed of the block at most
-    frequency = np.zeros(len(block.seeds), dtype=np.int64)
-    frequency[counted["seed"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
-    rare = spark.sparkContext.broadcast(block.rare(frequency))
-    return hits.mapInArrow(_aligned_batches(rare), result).where(F.col("score") >= least_score)
+    docs = documents.where((F.length("text") > 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    given = items.where(F.col("passage").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), "passage").distinct()
+    held = written(given.mapInArrow(_passage_batches, "item_id long, passage_id long, letters string, n_letters int"), "leak-items")
+    passages = held.groupBy("passage_id").agg(F.any_value("letters").alias("letters"), F.any_value("n_letters").alias("n_letters"))
+    passages = written(passages, "leak-passages")
+    seeds = written(passages.mapInArrow(_seed_batches, "passage_id long, seed long, place int, near int"), "leak-seeds")
+    bits = spark.sparkContext.broadcast(Bits.of(seeds.select("seed").distinct(), "seed"))
+    hits = written(docs.mapInArrow(_hit_batches(bits, 2 if least_seeds > 0 else 1), "doc_id long, seed long, at int, first boolean"), "leak-hits")
+    candidates = written(_candidates(spark, hits, seeds, passages, least_seeds), "leak-candidates")
+    discard(hits, seeds)
+    n_pairs = candidates.agg(F.sum(F.size("passages"))).first()[0] or 0
+    joined = docs.join(F.broadcast(candidates), "doc_id") if fits_broadcast(candidates) else _only(docs, candidates).join(candidates, "doc_id")
+    parts = joined.select("doc_id", "text", "passages").mapInArrow(_part_batches, "doc_id long, passage_id long, part string")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_pairs // PAIRS_PER_TASK)
+    pairs = parts.repartition(tasks, "doc_id", "passage_id").join(checked_broadcast(passages.select("passage_id", "letters")), "passage_id")
+    scores = pairs.select("doc_id", "passage_id", "part", "letters").mapInArrow(_score_batches, "doc_id long, passage_id long, score double").where(F.col("score") >= least_score)
+    return scores.join(checked_broadcast(held.select("item_id", "passage_id")), "passage_id").select("doc_id", "item_id", "score")

@@ -45,14 +45,32 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), it).count() == 0 and leaks.find_leaks(d, it.limit(0)).count() == 0
 
 
-def test_blocks_of_items_find_the_same(spark, monkeypatch):
+def test_full_seed_tables_and_shuffled_candidates_find_the_same(spark, monkeypatch):
     rng = random.Random(12)
     items = [(i, passage(rng)) for i in range(9)]
-    docs = spark.createDataFrame([(i, passage(rng) + p) for i, p in items], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, passage(rng) + p) for i, p in items] + [(i, passage(rng)) for i in range(100, 140)] + [(None, items[0][1])], "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, passage string")
-    whole = sorted(map(tuple, leaks.find_leaks(docs, it).select("doc_id", "item_id").collect()))
-    monkeypatch.setattr(leaks, "BLOCK", 4)
-    assert whole == sorted(map(tuple, leaks.find_leaks(docs, it).select("doc_id", "item_id").collect())) == [(i, i) for i in range(9)]
+    monkeypatch.setattr(leaks, "MOST_BITS", 8)  # every window passes
+    monkeypatch.setattr(leaks, "LEAST_BITS", 8)
+    monkeypatch.setattr(leaks, "fits_broadcast", lambda table: False)
+    assert sorted(map(tuple, leaks.find_leaks(docs, it).select("doc_id", "item_id").collect())) == [(i, i) for i in range(9)]
+
+
+def test_a_hot_passage_keeps_its_seeds(spark):
+    """A third of all documents repeat one passage, and none of its seeds is rare."""
+    rng = random.Random(13)
+    items = [(i, passage(rng)) for i in range(3)]
+    docs = [(i, (items[0][1] if i % 3 == 0 else "") + " " + passage(rng)) for i in range(150)]
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(0, 150, 3))
+
+
+def test_alignments_side_by_side_are_the_single_ones():
+    rng = np.random.default_rng(1)
+    pairs = [(rng.integers(97, 101, rng.integers(1, 40)).astype(np.uint32), rng.integers(97, 101, rng.integers(0, 70)).astype(np.uint32)) for _ in range(60)]
+    pairs.append((rng.integers(0x4E00, 0x4E04, 20).astype(np.uint32), rng.integers(0x4E00, 0x4E04, 50).astype(np.uint32)))
+    together = leaks.alignments([p for p, _ in pairs], [t for _, t in pairs])
+    assert np.allclose(together, [leaks.alignment(p, t) for p, t in pairs])
 
 
 def slow_alignment(a, b, jump):
@@ -80,9 +98,10 @@ def test_every_aligned_pair_is_a_candidate(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     few = docs.where("n_chars between 1 and 900").orderBy("doc_id").limit(12)
     want = {(d.doc_id, i) for d in few.collect() for i, p in items if leaks.alignment(letters(p), letters(d.text)) >= leaks.LEAST_SCORE}
-    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, spark.read.parquet(f"{sf}/eval_items.parquet")).collect()}
-    ids = {r.doc_id for r in few.collect()}
+    ids, all_items = {r.doc_id for r in few.collect()}, spark.read.parquet(f"{sf}/eval_items.parquet")
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, all_items).collect()}
     assert {x for x in got if x[0] in ids} == want
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, all_items, least_seeds=0).collect()} == got
 
 
 def test_raking_meets_sources_and_caps():
