@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.arrays import counted
+
 #: Labels of a segmentation.
 TISSUES = {"background": 0, "csf": 1, "grey_matter": 2, "white_matter": 3}
 BRAIN = ("csf", "grey_matter", "white_matter")
@@ -14,14 +17,18 @@ TISSUE_FEATURES = (
 )
 
 
-def _count(array: Column, value: Column | int) -> Column:
-    return F.size(F.filter(array, lambda v: v == value))
+def _labels(seg: np.ndarray) -> np.ndarray:
+    """Labels as whole numbers; ValueError for others than the known ones."""
+    found = seg.astype(np.int64)
+    if len(found) and (found.min() < 0 or found.max() >= len(TISSUES) or (found != seg).any()):
+        raise ValueError("unknown label")
+    return found
 
 
-def tissue_counts(seg: Column) -> dict[str, Column]:
-    """Voxels of each label; raises where another label occurs."""
-    known = F.when(F.exists(seg, lambda v: ~v.isin(*TISSUES.values())), F.raise_error(F.lit("unknown label"))).otherwise(seg)
-    return {f"{name}_voxels": _count(known, code) for name, code in TISSUES.items()}
+def tissue_counts(df: DataFrame, seg: str) -> DataFrame:
+    """`df` with the voxels of each label; raises where another label occurs; null for a null segmentation."""
+    counts = df.withColumn("_tissues", counted(lambda v: np.bincount(_labels(v), minlength=len(TISSUES)), F.col(seg)))
+    return counts.withColumns({f"{name}_voxels": F.get("_tissues", F.lit(code)).cast("int") for name, code in TISSUES.items()}).drop("_tissues")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -30,10 +37,10 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def tissue_features(df: DataFrame, seg: str = "seg") -> DataFrame:
     """`df` with the eleven tissue features; fractions are of the brain's voxels, and 0 where a denominator is."""
-    counted = df.withColumns(tissue_counts(F.col(seg)))
+    counts = tissue_counts(df, seg)
     csf, gm, wm = (F.col(f"{t}_voxels") for t in BRAIN)
     brain = csf + gm + wm
-    return counted.withColumns({
+    return counts.withColumns({
         "intracranial_voxels": brain,
         **{f"{t}_fraction": _ratio(F.col(f"{t}_voxels"), brain) for t in BRAIN},
         "gm_csf_ratio": _ratio(gm, csf), "gm_wm_ratio": _ratio(gm, wm), "brain_csf_ratio": _ratio(gm + wm, csf),
@@ -52,26 +59,34 @@ def block_centre(shape: tuple[int, int, int], n: int, index: tuple[int, int, int
     return tuple((a + b) // 2 for a, b in (block_bounds(s, n)[i] for s, i in zip(shape, index)))
 
 
-def _block_of(position: Column, size: Column, n: int) -> Column:
-    """Block whose edges floor(i * size / n) hold a position."""
-    return F.floor(((position + 1) * n - 1) / size).cast("int")
+def _block_counter(n: int):
+    """Of a segmentation and its shape the voxels by block and label."""
+
+    def count(seg: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        sizes = [int(x) for x in shape[:3]]
+        if min(sizes) < n:
+            raise ValueError("an axis is shorter than the number of blocks")
+        # block whose edges floor(i * size / n) hold a position
+        i, j, k = (((np.arange(x) + 1) * n - 1) // x for x in sizes)
+        block = (i[:, None, None] * n + j[:, None]) * n + k
+        return np.bincount(block.ravel() * len(TISSUES) + _labels(seg), minlength=n**3 * len(TISSUES))
+
+    return count
 
 
 def block_counts(df: DataFrame, key: str, seg: str = "seg", shape: str = "shape", n: int = 4) -> DataFrame:
     """One row per volume and block (i, j, k): voxels of each brain tissue, and all voxels. Raises where an axis is too short.
 
-    The counts are made within the volume's row, so only n³ short rows per volume leave it, never its voxels.
+    The counts are made within the volume's row, so only n³ short rows per volume leave it, never its voxels. A null
+    segmentation gives none.
     """
-    x, y, z = (F.get(F.col(shape), F.lit(a)) for a in range(3))
-    fits = F.when(F.array_min(shape) < n, F.raise_error(F.lit("an axis is shorter than the number of blocks"))).otherwise(F.col(seg))
-    of = lambda i: _block_of(F.floor(i / (y * z)), x, n) * n * n + _block_of(F.floor(i / z) % y, y, n) * n + _block_of(i % z, z, n)
-    blocks = F.transform(fits, lambda v, i: of(i) * 4 + v)  # block and label of each voxel in one number
-    cells = df.select(key, blocks.alias("_b"))
-    per = cells.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), lambda b: F.array(*[_count(F.col("_b"), b * 4 + t) for t in range(4)]))).alias("block", "c"))
+    cells = df.select(key, counted(_block_counter(n), F.col(seg), F.col(shape)).alias("_c"))
+    of = F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), lambda b: F.slice("_c", b * len(TISSUES) + 1, len(TISSUES)))
+    per = cells.where(F.col("_c").isNotNull()).select(key, F.posexplode(of).alias("block", "c"))
     return per.select(
         key, F.floor(F.col("block") / (n * n)).cast("int").alias("i"), (F.floor(F.col("block") / n) % n).cast("int").alias("j"), (F.col("block") % n).alias("k"), "c"
     ).select(
-        key, "i", "j", "k", *[F.get("c", F.lit(TISSUES[t])).alias(t) for t in BRAIN], F.aggregate("c", F.lit(0), lambda a, v: a + v).alias("voxels")
+        key, "i", "j", "k", *[F.get("c", F.lit(TISSUES[t])).cast("int").alias(t) for t in BRAIN], F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + v).cast("int").alias("voxels")
     )
 
 
@@ -112,16 +127,22 @@ def block_index(name: Column) -> Column:
     return F.when(part(1) != "", F.struct(*[part(g).cast("int").alias(c) for g, c in ((1, "i"), (2, "j"), (3, "k"))]))
 
 
-def dice(a: Column, b: Column, label: int) -> Column:
-    """Overlap of a label in two segmentations; 1 where neither has it; raises where their sizes differ."""
-    both = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == label) & (y == label)), lambda v: v))
-    total = F.size(F.filter(a, lambda v: v == label)) + F.size(F.filter(b, lambda v: v == label))
-    value = F.when(total == 0, 1.0).otherwise(F.try_divide(2.0 * both, total))
-    return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("segmentations differ in shape")))
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Voxels that both have, and that each has, of every tissue of the brain."""
+    if len(a) != len(b):
+        raise ValueError("segmentations differ in shape")
+    size = len(TISSUES)
+    table = np.bincount(_labels(a) * size + _labels(b), minlength=size * size).reshape(size, size)
+    codes = [TISSUES[t] for t in BRAIN]
+    return np.stack([table[codes, codes], table.sum(axis=1)[codes] + table.sum(axis=0)[codes]], axis=1).ravel()
 
 
 def segmentation_agreement(df: DataFrame, ours: str, reference: str) -> DataFrame:
-    return df.withColumns({f"dice_{t}": dice(F.col(ours), F.col(reference), TISSUES[t]) for t in BRAIN})
+    """`df` with the overlap (dice) of each tissue in two segmentations; 1 where neither has it; raises where sizes differ."""
+    both = df.withColumn("_o", counted(_overlap, F.col(ours), F.col(reference)))
+    at = lambda i: F.get("_o", F.lit(i))
+    dice = {f"dice_{t}": F.when(at(2 * i + 1) == 0, 1.0).otherwise(F.try_divide(2.0 * at(2 * i), at(2 * i + 1))) for i, t in enumerate(BRAIN)}
+    return both.withColumns(dice).drop("_o")
 
 
 def near_constant(df: DataFrame, columns: list[str], least_std: float = 1e-9) -> list[str]:

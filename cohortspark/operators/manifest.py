@@ -30,8 +30,8 @@ def _checked_parts(parts: Column, raw_id: Column) -> Column:
 def build_manifest(raw: DataFrame) -> DataFrame:
     """One typed row per labelled session of a raw metadata sheet.
 
-    Rows without a label are dropped before their id is parsed, so that a malformed id among them is no error. Missing
-    education, SES and MMSE (null or not-a-number) are null. raw_id is kept as it is, not trimmed.
+    Rows without a label are dropped before their id is parsed, so that a malformed id among them is no error. Numbers
+    that are missing (null or not-a-number) are null. raw_id is kept as it is, not trimmed.
     """
     require_columns(raw, REQUIRED)
     label = derive_label(F.col("CDR").cast("double"))
@@ -40,7 +40,7 @@ def build_manifest(raw: DataFrame) -> DataFrame:
     split = raw.select(
         F.when(label.isNotNull(), F.split(F.trim("ID"), "_")).alias("parts"), F.col("ID").alias("raw_id"), F.col("M/F").alias("sex"), F.col("Age").cast("int").alias("age"),
         number("Educ").alias("education"), number("SES").alias("ses"), number("MMSE").alias("mmse"), F.col("CDR").cast("double").alias("cdr"),
-        label.alias("label"), F.col("eTIV").cast("int").alias("etiv"), F.col("nWBV").cast("double").alias("nwbv"), F.col("ASF").cast("double").alias("asf"),
+        label.alias("label"), F.col("eTIV").cast("int").alias("etiv"), number("nWBV").alias("nwbv"), number("ASF").alias("asf"),
     ).where(F.col("label").isNotNull())
     rest = split.columns[1:]
     checked = split.select(_checked_parts(F.col("parts"), F.col("raw_id")).alias("parts"), *rest)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cohortspark.operators import aggregate, controls, crossval, metrics, reports
 from cohortspark.operators.logistic import Recipe, fit_large
-from cohortspark.sources.artifact import Metadata
+from cohortspark.sources import artifact
 
 #: Figures of an earlier probe that new results are set against.
 PROBE = {"balanced_accuracy": 0.682, "auc": 0.756}
@@ -67,12 +67,13 @@ def collinearity(df: DataFrame, features: list[str], c: float = 1.0) -> DataFram
     return reports.rank_by(df.sparkSession.createDataFrame(rows, "feature string, coefficient double, nearest string, abs_r double"), "coefficient", absolute=True)
 
 
-def final_refit(df: DataFrame, features: list[str], grid: list[Recipe], name: str = "final") -> tuple[dict, Metadata]:
+def final_refit(df: DataFrame, features: list[str], grid: list[Recipe], name: str = "final") -> tuple[dict, Row]:
     """The model of the most often chosen strength, fitted on everything; the stored metrics are those of nested validation."""
     predictions, chosen = crossval.nested_cross_validate(df, features, grid)
     best = crossval.selection_stability(chosen, ["grid"]).first()["grid"]
     row = subject_report(predictions.drop("n_rows"), name)
     stored = dict(zip((c.split()[0] for c in RESULT.split(", ")), row))
     model = fit_large(df, features, c=grid[best].c)
-    meta = Metadata(name, list(features), "frame", "binary", "demented", stored["n"], metrics={k: v for k, v in stored.items() if isinstance(v, float)}, slice_config={"recipe": asdict(grid[best])})
-    return model, meta
+    scores = {k: v for k, v in stored.items() if isinstance(v, float)}
+    settings = {k: str(v) for k, v in asdict(grid[best]).items()}
+    return model, artifact.card(df.sparkSession, name, features, source="frame", target="demented", subjects=stored["n"], scores=scores, settings=settings)

@@ -1,13 +1,19 @@
 """Voxel arrays: a volume is `data` (array of numbers in C order) with its `shape` (three sizes).
 
-Everything here is an expression over arrays and stays with the row, so a volume is never exploded or shuffled.
+Everything here stays with the row, so a volume is never exploded or shuffled: what touches a plane is an expression over
+arrays, what touches every voxel is NumPy in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortspark.functions.arrays import mapped
+
 CHANNEL_MODES = ("replicate", "adjacent")
 #: Mean and standard deviation of the three channels that pretrained image models expect.
 CHANNEL_MEAN, CHANNEL_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -59,44 +65,54 @@ def central_planes(data: Column, shape: Column, axis: int, n: int, step: int = 1
     return F.transform(positions, lambda p: F.struct(p.alias("position"), plane(data, shape, axis, p).alias("plane")))
 
 
-def percentile(data: Column, percent: float) -> Column:
-    """Exact percentile of an array, interpolated linearly between neighbours."""
-    ordered = F.array_sort(data)
-    at = (F.size(data) - 1) * F.lit(percent / 100.0)
-    low, high = F.get(ordered, F.floor(at).cast("int")).cast("double"), F.get(ordered, F.ceil(at).cast("int")).cast("double")
-    return low + (high - low) * (at - F.floor(at))
+def _clip(low: float, high: float) -> Callable[[np.ndarray], np.ndarray]:
+    if not 0 <= low < high <= 100:
+        raise ValueError("bounds must satisfy 0 <= low < high <= 100")
+
+    def clip(v: np.ndarray) -> np.ndarray:
+        bounds = np.percentile(v, [low, high], axis=1)
+        return np.clip(v, bounds[0][:, None], bounds[1][:, None])
+
+    return clip
+
+
+def _minmax(v: np.ndarray) -> np.ndarray:
+    low, high = v.min(axis=1, keepdims=True), v.max(axis=1, keepdims=True)
+    return np.divide(v - low, high - low, out=np.zeros_like(v), where=high > low)
+
+
+def _zscore(v: np.ndarray, foreground_only: bool = True) -> np.ndarray:
+    used = v > 0 if foreground_only else np.ones(v.shape, bool)
+    n = np.maximum(used.sum(axis=1, keepdims=True), 1)
+    mean = v.sum(axis=1, where=used, keepdims=True) / n
+    sd = np.sqrt(np.square(v - mean).sum(axis=1, where=used, keepdims=True) / n)
+    return np.divide(v - mean, sd, out=np.zeros_like(v), where=sd > 0)
 
 
 def clip_percentile(data: Column, low: float = 1, high: float = 99) -> Column:
-    if not 0 <= low < high <= 100:
-        raise ValueError("bounds must satisfy 0 <= low < high <= 100")
-    bounds = F.array(F.struct(percentile(data, low).alias("lo"), percentile(data, high).alias("hi")))
-    return F.flatten(F.transform(bounds, lambda b: F.transform(data, lambda v: F.greatest(b["lo"], F.least(b["hi"], v.cast("double"))))))
+    """Values cut off at two exact percentiles of all voxels, interpolated linearly. Not-a-number anywhere makes all of it."""
+    return mapped(data, _clip(low, high))
 
 
 def minmax(data: Column) -> Column:
     """Scaled to [0, 1]; zeros where all values are equal."""
-    bounds = F.array(F.struct(F.array_min(data).cast("double").alias("lo"), F.array_max(data).cast("double").alias("hi")))
-    return F.flatten(F.transform(bounds, lambda b: F.transform(data, lambda v: F.when(b["hi"] <= b["lo"], 0.0).otherwise((v - b["lo"]) / (b["hi"] - b["lo"])))))
+    return mapped(data, _minmax)
 
 
 def zscore(data: Column, foreground_only: bool = True) -> Column:
     """Standardised by mean and population std of the values above 0, applied to all; zeros where these don't exist."""
-    used = F.filter(data, lambda v: v > 0) if foreground_only else data
-    add = lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v).alias("s"))
-    total = F.aggregate(used, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), add)
-    mean = F.array(F.try_divide(total["s"], total["n"]))
-    moments = F.transform(mean, lambda m: F.struct(m.alias("m"), F.sqrt(F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(used))).alias("sd")))
-    return F.flatten(F.transform(moments, lambda q: F.transform(data, lambda v: F.when(q["sd"] > 0, (v - q["m"]) / q["sd"]).otherwise(0.0))))
+    return mapped(data, lambda v: _zscore(v, foreground_only))
 
 
-SCHEMES = {"minmax": minmax, "zscore": zscore}
+SCHEMES = {"minmax": _minmax, "zscore": _zscore}
 
 
 def preprocess(data: Column, scheme: str = "minmax", low: float = 1, high: float = 99) -> Column:
+    """Cut off, then scaled, in one pass over the voxels."""
     if scheme not in SCHEMES:
         raise ValueError(f"scheme must be one of {sorted(SCHEMES)}")
-    return SCHEMES[scheme](clip_percentile(data, low, high))
+    clip, scale = _clip(low, high), SCHEMES[scheme]
+    return mapped(data, lambda v: scale(clip(v)))
 
 
 def channel_indices(center: Column, mode: str, size: Column, gap: int = 1) -> Column:

@@ -21,7 +21,7 @@ sheet AS (SELECT *, {subject('subject_id', 'raw_id')} AS s, {_SESSION} AS m FROM
 sessions AS (
   SELECT s AS subject_id, m AS session_id, s || '_' || m AS raw_id, sex, age,
     CASE WHEN isnan(education) THEN NULL ELSE education END AS education, CASE WHEN isnan(ses) THEN NULL ELSE ses END AS ses,
-    CASE WHEN isnan(mmse) THEN NULL ELSE mmse END AS mmse, cdr, CASE WHEN cdr = 0 THEN 0 ELSE 1 END AS label, etiv, nwbv, asf,
+    CASE WHEN isnan(mmse) THEN NULL ELSE mmse END AS mmse, cdr, CASE WHEN cdr = 0 THEN 0 ELSE 1 END AS label, etiv, CASE WHEN isnan(nwbv) THEN NULL ELSE nwbv END AS nwbv, CASE WHEN isnan(asf) THEN NULL ELSE asf END AS asf,
     coalesce(cdr >= 0.5 OR (cdr = 0 AND age >= 60), FALSE) AS age_matched_cohort
   FROM sheet WHERE cdr IS NOT NULL AND NOT isnan(cdr) AND (cdr = 0 OR cdr >= 0.5))"""
 

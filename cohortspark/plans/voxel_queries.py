@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import features, voxels
+from cohortspark.sources import artifact
 from cohortspark.sources.tables import table
 
 N_BLOCKS = 2
@@ -106,7 +107,35 @@ def dice(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("subject_id", *[F.round(f"dice_{t}", 6).alias(f"dice_{t}") for t in features.BRAIN])
 
 
+def vox_foreground(spark: SparkSession, sf: str) -> DataFrame:
+    v = volumes(spark, sf)
+    return v.select("subject_id", F.posexplode(voxels.foreground(F.col("data"), 0.05)).alias("i", "inside"))
+
+
+def vox_triplanar_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """One sample per offset: how often its planes hold something, after the shape lost its last size of 1."""
+    v = volumes(spark, sf).withColumn("shape", voxels.require_volume(F.concat("shape", F.array(F.lit(1)))))
+    samples = F.array(*[F.struct(F.lit(o).alias("position"), voxels.triplanar_sample(F.col("data"), F.col("shape"), o).alias("planes")) for o in voxels.triplanar_offsets(3, 1)])
+    rows = v.select("subject_id", F.inline(samples))
+    return rows.select("subject_id", "position", F.size(F.filter(F.flatten("planes"), lambda x: x > 0)).alias("n_positive"))
+
+
+def block_centres(spark: SparkSession, sf: str) -> DataFrame:
+    """The voxel in the middle of each block, and its label."""
+    centres = [(i, j, k, *features.block_centre((4, 4, 4), N_BLOCKS, (i, j, k))) for i in range(N_BLOCKS) for j in range(N_BLOCKS) for k in range(N_BLOCKS)]
+    at = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijkxyz", c)]) for c in centres])
+    rows = segmentations(spark, sf).select("subject_id", "seg", F.inline(at))
+    return rows.select("subject_id", "i", "j", "k", F.get("seg", F.col("x") * 16 + F.col("y") * 4 + F.col("z")).alias("label"))
+
+
+def tissue_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of a named feature set, in its order."""
+    found = artifact.feature_set(features.tissue_features(segmentations(spark, sf)), "tissue_only", "subject_id")
+    return found.select("subject_id", *[F.round(c, 6).alias(c) for c in found.columns[1:]])
+
+
 QUERIES = {
+    "vox_foreground": vox_foreground, "vox_triplanar_offsets": vox_triplanar_offsets, "block_centres": block_centres, "tissue_set": tissue_set,
     "vox_clip": _mapped(voxels.clip_percentile), "vox_minmax": _mapped(voxels.minmax), "vox_zscore": _mapped(voxels.zscore),
     "vox_preprocess": _mapped(lambda d: voxels.preprocess(d, "zscore")), "vox_plane": vox_plane, "vox_central_planes": vox_central_planes,
     "vox_samples": vox_samples, "vox_standardized": vox_standardized, "vox_padded": vox_padded, "vox_triplanar": vox_triplanar,
@@ -123,7 +152,14 @@ _FRACTIONS = ", f AS (" + " UNION ALL ".join(f"SELECT subject_id, '{t}' AS tissu
 _ASYM = ", y AS (SELECT l.subject_id, l.tissue, l.i, l.j, l.k, l.value - r.value AS value FROM f l JOIN f r ON l.subject_id = r.subject_id AND l.tissue = r.tissue AND l.j = r.j AND l.k = r.k AND r.i = 1 - l.i WHERE l.i < 1)"
 _NAMED = "'_b' || i || '_' || j || '_' || k"
 _TRI = " UNION ALL ".join(f"SELECT subject_id, {axis} AS axis, {r} * 4 + {c} AS i, round(v, 6) AS value FROM x WHERE {at} = 1" for axis, at, r, c in ((0, "a", "b", "c"), (1, "b", "a", "c"), (2, "c", "a", "b")))
+_SHARE = "round(coalesce({0} / nullif({1}, 0), 0), 6)"
 ORACLES = {
+    "vox_foreground": _V + "SELECT subject_id, n AS i, v > 0.05 AS inside FROM v",
+    "vox_triplanar_offsets": _V + " SELECT subject_id, position, CAST(sum(hit) AS INTEGER) AS n_positive FROM (SELECT subject_id, position, (CASE WHEN a = 2 + position THEN 1 ELSE 0 END + CASE WHEN b = 2 + position THEN 1 ELSE 0 END + CASE WHEN c = 2 + position THEN 1 ELSE 0 END) * CASE WHEN v > 0 THEN 1 ELSE 0 END AS hit FROM x, (SELECT unnest([-1, 0, 1]) AS position) p) h GROUP BY ALL",
+    "block_centres": _V + _SEG + "SELECT subject_id, a // 2 AS i, b // 2 AS j, c // 2 AS k, seg AS label FROM s WHERE a % 2 = 1 AND b % 2 = 1 AND c % 2 = 1",
+    "tissue_set": _V + _SEG + ", t AS (SELECT subject_id, count(*) FILTER (seg = 1) AS c, count(*) FILTER (seg = 2) AS g, count(*) FILTER (seg = 3) AS w FROM s GROUP BY subject_id) SELECT subject_id, " + ", ".join(
+        _SHARE.format(*parts) + f" AS {name}" for name, parts in (("grey_matter_fraction", ("g", "c + g + w")), ("csf_fraction", ("c", "c + g + w")), ("white_matter_fraction", ("w", "c + g + w")), ("gm_csf_ratio", ("g", "c")), ("gm_wm_ratio", ("g", "w")), ("brain_csf_ratio", ("(g + w)", "c")))
+    ) + " FROM t",
     "vox_clip": _V + _CLIP + "SELECT subject_id, n AS i, round(v, 6) AS value FROM clipped",
     "vox_minmax": _V + "SELECT subject_id, n AS i, round((v - lo) / (hi - lo), 6) AS value FROM v JOIN (SELECT subject_id, min(v) AS lo, max(v) AS hi FROM v GROUP BY subject_id) USING (subject_id)",
     "vox_zscore": _V + _Z.format("v"),

@@ -54,8 +54,8 @@ def test_planes(spark):
         one(voxels.require_volume(F.array(*map(F.lit, (4, 1, 5, 2)))))
 
 
-def seg_frame(spark, a):
-    return frame(spark, a).select("subject_id", "shape", F.transform("data", lambda v: v.cast("int")).alias("seg"))
+def seg_frame(spark, *arrays):
+    return frame(spark, *arrays).select("subject_id", "shape", F.transform("data", lambda v: v.cast("int")).alias("seg"))
 
 
 def test_tissue_and_regions(spark):
@@ -67,6 +67,11 @@ def test_tissue_and_regions(spark):
     assert none.csf_fraction == none.gm_csf_ratio == 0.0
     with pytest.raises(Exception, match="unknown label"):
         features.tissue_features(seg_frame(spark, np.full((2, 2, 2), 7))).collect()
+    with pytest.raises(Exception, match="shorter"):
+        features.block_counts(seg_frame(spark, flat), "subject_id", n=11).collect()
+    mixed = seg_frame(spark, flat, np.zeros((2, 3, 4))).withColumn("seg", F.when(F.col("subject_id") < 2, F.col("seg"))).union(seg_frame(spark, flat).withColumns({"subject_id": F.lit(2), "seg": F.lit(None).cast("array<int>")}))
+    assert [(r.subject_id, r.csf_voxels) for r in features.tissue_features(mixed).orderBy("subject_id").collect()] == [(0, 100), (1, 0), (2, None)]
+    assert features.block_counts(mixed, "subject_id", n=2).count() == 16 and features.tissue_features(mixed.limit(0)).count() == 0
     for size, n in ((9, 3), (10, 3), (11, 3), (122, 14)):
         bounds = features.block_bounds(size, n)
         assert bounds[0][0] == 0 and bounds[-1][1] == size and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:]))
@@ -204,24 +209,42 @@ def test_nested(spark):
 def test_artifact(spark, tmp_path):
     df = cv_frame(spark, 2)
     model = logistic.fit_large(df, ["feat_b", "feat_a"])
-    meta = artifact.Metadata("m", ["feat_b", "feat_a"], "frame", "binary", "case", 100)
+    about = artifact.card(spark, "m", ["feat_b", "feat_a"], source="frame", target="case", subjects=100, scores={"auc": 0.8})
     folder = f"file://{tmp_path}/m"
-    with pytest.raises(FileNotFoundError):
+    with pytest.raises(FileNotFoundError, match="card, parameters"):
         artifact.load(spark, folder)
-    artifact.save(spark, folder, model, meta)
+    artifact.save(spark, folder, model, about)
     again, read = artifact.load(spark, folder)
-    assert again == model and read == meta and artifact.apply_model(df, again, read).count() == 100
-    assert artifact.ordered_features(meta, ["feat_a", "x", "feat_b"]) == ["feat_b", "feat_a"]
+    same = ("name", "inputs", "source", "target", "subjects", "decision", "scores", "settings", "format")
+    assert again == model and all(read[c] == about[c] for c in same) and abs(read.made_at - about.made_at).total_seconds() < 1
+    assert artifact.apply_model(df, again, read).where("y_pred is not null").count() == 100
+    assert artifact.arranged(about.inputs, ["feat_a", "x", "feat_b"]) == ["feat_b", "feat_a"]
     with pytest.raises(ValueError, match="feat_b"):
-        artifact.ordered_features(meta, ["feat_a"])
-    meta.version = "0.1"
-    artifact.save(spark, folder, model, meta)
+        artifact.apply_model(df.drop("feat_b"), again, read)
+    with pytest.raises(ValueError, match="12 inputs .* c9$"):
+        artifact.arranged([f"c{i}" for i in range(12)], ["x"])
+    artifact.save(spark, folder, model, artifact.card(spark, "m", ["feat_a"], format="0.1"))
     with pytest.raises(ValueError, match="0.1"):
         artifact.load(spark, folder)
-    with pytest.raises(ValueError):
-        artifact.Metadata("m", [], "f", "b", "c", 1)
-    with pytest.raises(ValueError):
-        artifact.feature_columns("unknown")
+    for wrong in ({"inputs": []}, {"inputs": ["a"], "decision": 1.0}, {"inputs": ["a"], "decision": None}):
+        with pytest.raises(ValueError, match="must"):
+            artifact.card(spark, "m", **wrong)
+    assert artifact.feature_set(df.withColumn("age", F.lit(1)), "age_only", "subject_id").columns == ["subject_id", "age"]
+    with pytest.raises(ValueError, match="no feature set"):
+        artifact.feature_set(df, "unknown")
+
+
+def test_a_volume_of_real_size(spark):
+    """176 x 208 x 176 voxels in one row: every block and every value as NumPy has them."""
+    n = 176 * 208 * 176
+    big = spark.range(1).select("id", F.lit([176, 208, 176]).alias("shape"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pmod(i.cast("bigint") * 7919, F.lit(4)).cast("int")).alias("seg"))
+    seg = (np.arange(n) * 7919 % 4).reshape(176, 208, 176)
+    found = {(r.i, r.j, r.k): (r.csf, r.voxels) for r in features.block_counts(big, "id", n=4).collect()}
+    part = seg[44:88, 156:208, 0:44]
+    assert len(found) == 64 and found[1, 3, 0] == ((part == 1).sum(), part.size)
+    sums = big.select(voxels.preprocess(F.col("seg"), "zscore").alias("z")).select(F.size("z"), F.aggregate("z", F.lit(0.0), lambda a, v: a + v)).first()
+    v = np.clip(seg.ravel().astype(float), *np.percentile(seg, [1, 99]))
+    assert sums[0] == n and sums[1] == pytest.approx(((v - v[v > 0].mean()) / v[v > 0].std()).sum(), rel=1e-9)
 
 
 def test_volume_files(spark, tmp_path):
