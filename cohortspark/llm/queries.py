@@ -107,14 +107,25 @@ def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("score").alias("best_score"))
 
 
-def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
     """The kind of site (the first label of the host: docs, old, www) stands for the topic."""
     documents = table(spark, sf, "documents").select("doc_id", "text", "source", "lang", F.regexp_extract("host", r"^([^.]*)\.", 1).alias("topic"))
-    return mixing.mix(documents, table(spark, sf, "mix_targets"))
+    return mixing.plan_mix(documents, table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf).documents().select("doc_id", "source", "n_tokens", "copies")
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.shares_report(p7_mix(spark, sf), table(spark, sf, "mix_targets"))
+    plan = _mix(spark, sf)
+    return plan.shares(plan.documents())
+
+
+def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources, languages and topics: their shares of the corpus, of the mix as raked, and of the mix as drawn."""
+    plan = _mix(spark, sf)
+    return plan.margins(plan.documents())
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,6 +147,7 @@ QUERIES = {
     "p6_leaked_items": p6_leaked_items,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_margins": p7_margins,
     "p8_found": p8_found,
 }
 

@@ -104,19 +104,33 @@ def test_every_aligned_pair_is_a_candidate(spark, sf):
     assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, all_items, least_seeds=0).collect()} == got
 
 
-def test_raking_meets_sources_and_caps():
+def test_raking_meets_sources_and_caps(spark):
     rng = np.random.default_rng(1)
-    cells = pd.DataFrame([(s, l, t, float(rng.integers(100, 9000))) for s in "abc" for l in ("en", "de") for t in range(3)], columns=["source", "lang", "topic", "tokens"])
+    rows = [(s, l, t, int(rng.integers(100, 9000))) for s in "abc" for l in ("en", "de", None) for t in range(3)]
+    cells = pd.DataFrame(rows, columns=["source", "lang", "topic", "tokens"])
     shares, repeats = {"a": 0.5, "b": 0.3, "c": 0.1, "none": 0.1}, {"a": 1, "b": 2, "c": 4, "none": 9}
     given = mixing.reachable_totals(cells.groupby("source")["tokens"].sum().to_dict(), shares, repeats)
-    weight = mixing.rake(cells, given, repeats)
-    got = (cells["tokens"] * weight).groupby(cells["source"]).sum()
-    assert all(got[s] == pytest.approx(given[s]) for s in "abc") and given["none"] == 0
-    assert (weight <= cells["source"].map(repeats) + 1e-9).all() and got["a"] / got.sum() == pytest.approx(5 / 9)
+    weighted, raked = mixing.rake(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), given, repeats)
+    got = weighted.toPandas()
+    got["mixed"] = got["tokens"] * got["weight"]
+    by_source = got.groupby("source")["mixed"].sum()
+    assert all(by_source[s] == pytest.approx(given[s], rel=1e-5) for s in "abc") and given["none"] == 0 and raked.rounds < 40
+    assert (got["weight"] <= got["source"].map(repeats) + 1e-9).all() and by_source["a"] / by_source.sum() == pytest.approx(5 / 9, rel=1e-5)
     more = mixing.reachable_totals({"a": 10.0, "b": 100.0}, {"a": 0.5, "b": 0.5}, {"a": 2, "b": 3}, total=200)
     assert more == {"a": 20.0, "b": 180.0}
 
 
+def test_raking_keeps_margins_of_any_number_of_topics(spark):
+    rng = random.Random(2)
+    rows = [(s, l, f"t{t}", rng.randint(50, 500)) for s in "abc" for l in ("en", "de") for t in range(300)]
+    given = {"a": 9000.0, "b": 6000.0, "c": 3000.0}
+    weighted, _ = mixing.rake(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"), given, dict.fromkeys("abc", 5))
+    got = weighted.toPandas()
+    for margin in ("lang", "topic"):
+        mixed = (got["tokens"] * got["weight"]).groupby(got[margin]).sum() / 18000
+        assert np.allclose(mixed, got.groupby(margin)["tokens"].sum() / got["tokens"].sum(), rtol=5e-3)
+
+
 @pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no vocabulary here")
 def test_mix(spark):
     rng = random.Random(6)
@@ -124,10 +138,15 @@ def test_mix(spark):
     docs += [(-1, None, "big", None, None), (-2, "", "small", None, None), (1, "twice", "big", "en", "t")]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, topic string").withColumn("n_tokens", F.lit("clash")).withColumn("weight", F.lit(3))
     targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.2, 3), ("absent", 0.1, 5), (None, 0.3, 1)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mix(d, targets)
-    report = {r.source: r for r in mixing.shares_report(mixed, targets).collect()}
-    assert report["big"].reached_share == pytest.approx(7 / 9, abs=0.01) and report["absent"].reached_share == 0 and not report["absent"].reached
-    assert report["big"].most_copies == 1 and report["small"].most_copies <= 3
+    plan = mixing.plan_mix(d, targets)
+    drawn = plan.documents()
+    mixed = drawn.select("doc_id", "source", "n_tokens", "copies")
+    report = {r.source: r for r in plan.shares(drawn).collect()}
+    assert report["big"].reached_share == pytest.approx(7 / 9, abs=0.001) and report["absent"].reached_share == 0 and not report["absent"].reached
+    assert report["big"].most_copies == 1 and report["small"].most_copies <= 3 and set(report) == {"big", "small", "absent"}
+    assert report["big"].met and report["small"].met and sum(r.binds for r in report.values()) == 1
+    margins = plan.margins(drawn).collect()
+    assert all(abs(r.planned_share - r.mix_share) < 0.01 for r in margins) and {r.value for r in margins if r.margin == "lang"} == {"en", "de", None}
     texts = {i: t for i, t, *_ in docs}
     encoder = mixing._encoder(mixing.TOKENIZER)
     assert all(r.n_tokens in (len(encoder.encode_ordinary(texts[r.doc_id])), len(encoder.encode_ordinary("twice"))) for r in mixed.limit(50).collect())
