@@ -65,7 +65,8 @@ def p4_splits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_split_report(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.split_report(p4_splits(spark, sf))
+    found = splits.split_report(p4_splits(spark, sf), SPLIT_SHARES)
+    return found.select("split", "n_subjects", "n_rows", *[F.round(c, 9).alias(c) for c in ("row_share", "deviation", "positive_share")])
 
 
 def _resolved(spark: SparkSession, sf: str) -> survivor.Resolution:
@@ -192,6 +193,25 @@ pairs AS (SELECT DISTINCT r.a, r.b FROM reach r JOIN s x ON r.a = x.id JOIN s y
 SELECT a AS subject_id, min(b) AS group_id FROM pairs GROUP BY a HAVING count(*) > 1
 """
 
+_P4_ENDS = splits.bounds(SPLIT_SHARES)
+_P4_SPLIT = "CASE " + " ".join(f"WHEN spot < {end} THEN '{name}'" for name, end in _P4_ENDS.items()) + f" ELSE '{list(_P4_ENDS)[-1]}' END"
+_P4_DEVIATION = "greatest(" + ", ".join(f"abs(sum(CASE WHEN split = '{s}' THEN rows ELSE 0 END) / max(total) - {share})" for s, share in SPLIT_SHARES.items()) + ")"
+_P4_SPLITS = _P4_FOUND.replace("SELECT a AS subject_id, min(b) AS group_id FROM pairs GROUP BY a HAVING count(*) > 1", f"""
+, found AS (SELECT a AS subject_id, min(b) AS group_id FROM pairs GROUP BY a HAVING count(*) > 1),
+weights AS (SELECT {_canonical('subject_id', 'raw_id')} AS subject_id, count(*) AS n_rows, count(*) FILTER (label = 1) AS n_positive FROM subject_records GROUP BY 1 HAVING subject_id IS NOT NULL),
+members AS (SELECT w.*, coalesce(f.group_id, w.subject_id) AS group_id FROM weights w LEFT JOIN found f USING (subject_id)),
+sized AS (SELECT group_id, sum(n_rows) AS rows, sum(n_positive) > 0 AS stratum FROM members GROUP BY group_id),
+placed AS (SELECT group_id, rows, stratum, sum(rows) OVER (PARTITION BY stratum) AS total,
+  (2 * sum(rows) OVER (PARTITION BY stratum ORDER BY md5('42|' || group_id), group_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rows) / (2 * sum(rows) OVER (PARTITION BY stratum)) AS place FROM sized),
+turned AS (SELECT *, place + turn / {splits.TURNS} - floor(place + turn / {splits.TURNS}) AS spot FROM placed, range({splits.TURNS}) AS t(turn)),
+tried AS (SELECT *, {_P4_SPLIT} AS split FROM turned),
+off AS (SELECT stratum, turn, round({_P4_DEVIATION}, 9) AS off FROM tried GROUP BY stratum, turn),
+best AS (SELECT stratum, turn FROM off QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY off, turn) = 1),
+splits AS (SELECT m.subject_id, m.group_id, m.n_rows, m.n_positive, t.split FROM members m JOIN tried t USING (group_id) JOIN best b ON t.stratum = b.stratum AND t.turn = b.turn)
+SELECT * FROM splits""")
+_P4_REPORT = _P4_SPLITS.replace("SELECT * FROM splits", f"""SELECT split, count(*) AS n_subjects, sum(n_rows) AS n_rows, round(sum(n_rows) / sum(sum(n_rows)) OVER (), 9) AS row_share,
+round(sum(n_rows) / sum(sum(n_rows)) OVER () - CASE {" ".join(f"WHEN split = '{s}' THEN {share}" for s, share in SPLIT_SHARES.items())} END, 9) AS deviation, round(sum(n_positive) / sum(n_rows), 9) AS positive_share FROM splits GROUP BY split""")
+
 _P5_VALID = {"education": "education BETWEEN 1 AND 5", "ses": "ses BETWEEN 1 AND 5", "mmse": "mmse BETWEEN 0 AND 30", "cdr": "cdr IS NOT NULL AND NOT isnan(cdr)", "nwbv": "nwbv IS NOT NULL AND NOT isnan(nwbv)"}
 _P5_FOUND = f"""
 WITH k AS (SELECT *, {_canonical('subject_id', 'raw_id')} AS s, CAST(coalesce({_SESSION_SQL.format('session_id')}, {_RAW_SESSION_SQL.format('raw_id')}) AS BIGINT) AS m FROM subject_records),
@@ -206,5 +226,7 @@ ORACLES = {
     "p1_union_percentiles": _percentile_sql("site, month"),
     "p1_overall_percentiles": _percentile_sql(""),
     "p4_found": _P4_FOUND,
+    "p4_splits": _P4_SPLITS,
+    "p4_split_report": _P4_REPORT,
     "p5_found": _P5_FOUND,
 }

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.draws import uniform
-from cohortspark.plans.shared import written
+from cohortspark.functions.draws import digest
+from cohortspark.plans.shared import checked_broadcast, discard, written
 
-#: A component with more than this share of all rows is placed by itself; there are at most 1 / share of them.
-LARGE_SHARE = 0.002
+#: Places at which the first range may begin, per stratum; the one with the least deviation of shares is taken.
+TURNS = 16
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -42,7 +40,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         large = star(both, F.col("y") > F.col("x"))
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = star(large.select(F.col("u").alias("x"), F.col("v").alias("y")), F.lit(True))
-        pairs = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        last, pairs = pairs, written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        discard(last)
         after = state(pairs)
         if after == before:
             ends = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -62,50 +61,68 @@ def related_groups(subjects: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(named, "component").select("subject_id", "group_id")
 
 
-def split_subjects(
-    weights: DataFrame,
-    links: DataFrame,
-    shares: dict[str, float],
-    seed: int = 42,
-) -> DataFrame:
-    """(subject_id, group_id, n_rows, split): every subject in one split, related ones in the same.
+def bounds(shares: dict[str, float]) -> dict[str, float]:
+    """Upper end of each split's range of [0, 1)."""
+    upto, out = 0.0, {}
+    for name, share in shares.items():
+        upto = round(upto + share, 12)
+        out[name] = upto
+    return out
+
+
+def _hash_places(groups: DataFrame, seed: int) -> DataFrame:
+    """`groups` (group_id, rows, stratum) with `place`: where the middle of its rows lies, from 0 to 1, when the rows of a
+    stratum are laid out in the order of the hash of their group.
+
+    The hash's head cuts each stratum into parts; a window runs in each, and the parts' totals give the offsets.
+    """
+    hashed = groups.withColumn("_h", digest(seed, F.col("group_id"))).withColumn("_part", F.substring("_h", 1, 3))
+    held = hashed.groupBy("stratum", "_part").agg(F.sum("rows").alias("held"))
+    whole = Window.partitionBy("stratum")  # 4,096 parts at most
+    parts = held.select("stratum", "_part", (F.sum("held").over(whole.orderBy("_part")) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("total"))
+    own = Window.partitionBy("stratum", "_part").orderBy("_h", "group_id").rowsBetween(Window.unboundedPreceding, 0)
+    joined = hashed.join(checked_broadcast(parts), ["stratum", "_part"])
+    middle = 2 * (F.col("before") + F.sum("rows").over(own)) - F.col("rows")
+    return joined.select("group_id", "rows", "stratum", "total", (middle / (2 * F.col("total"))).alias("place"))
+
+
+def split_subjects(weights: DataFrame, links: DataFrame, shares: dict[str, float], seed: int = 42) -> DataFrame:
+    """(subject_id, group_id, n_rows, n_positive, split): every subject in one split, related ones in the same.
 
     `weights` has one row per subject_id with n_rows and n_positive (rows with label 1). Subjects without relations are
-    their own group. The group's id is hashed into ranges of the hash that are proportional to the splits, one set of
-    ranges for each stratum (groups with positive rows, and without) so that label shares come out alike. Groups with
-    over LARGE_SHARE of all rows, of which there can be no more than 1 / LARGE_SHARE, are placed first, each in the
-    split that lacks the most rows of its stratum; what they take narrows the ranges of the rest.
+    their own group. The hash of a group's id gives its place among the rows of its stratum (groups with positive rows, and
+    without, so that label shares come out alike), and [0, 1) is cut into ranges in proportion to `shares`. A group of any
+    size goes where its middle lies, so shares deviate by half of the groups that lie on a bound at most; where the first
+    range begins is turned, per stratum, to the one of TURNS places with the least deviation. `split_report` states it.
     """
     groups = related_groups(weights, links)
     members = weights.select("subject_id", "n_rows", "n_positive").join(groups, "subject_id", "left").withColumn("group_id", F.coalesce("group_id", "subject_id"))
     members = written(members, "split-members")
     sized = members.groupBy("group_id").agg(F.sum("n_rows").alias("rows"), (F.sum("n_positive") > 0).alias("stratum"))
-    totals = {r["stratum"]: r["rows"] for r in sized.groupBy("stratum").agg(F.sum("rows").alias("rows")).collect()}
-    limit = LARGE_SHARE * sum(totals.values())
-    large = sized.where(F.col("rows") > limit).orderBy(F.col("rows").desc(), "group_id").collect()
-    lack = {(t, s): share * rows for t, rows in totals.items() for s, share in shares.items()}
-    placed: dict[str, list[str]] = {s: [] for s in shares}
-    for g in large:
-        to = max(shares, key=lambda s: lack[g["stratum"], s])
-        placed[to].append(g["group_id"])
-        lack[g["stratum"], to] -= g["rows"]
-
-    u = uniform(seed, F.col("group_id"))
-    split = F.lit(None).cast("string")
-    for t in totals:
-        need = {s: max(0.0, lack[t, s]) for s in shares}
-        whole, upto, ranges = sum(need.values()) or 1.0, 0.0, None
-        for s in shares:
-            upto += need[s] / whole
-            ranges = F.when(u < upto, s) if ranges is None else ranges.when(u < upto, s)
-        split = F.when(F.col("stratum") == F.lit(t), ranges.otherwise([s for s in shares if need[s]][-1] if any(need.values()) else next(iter(shares)))).otherwise(split)
-    chosen = reduce(lambda rest, s: F.when(F.col("group_id").isin(placed[s]), s).otherwise(rest), [s for s in shares if placed[s]], split)
-    assigned = sized.select("group_id", chosen.alias("split"))
+    placed = written(_hash_places(sized, seed), "split-places")
+    ends = bounds(shares)
+
+    def split(turn) -> Column:
+        turned = F.col("place") + turn / TURNS
+        turned = turned - F.floor(turned)
+        out = F.lit(list(ends)[-1])
+        for name in reversed(list(ends)):
+            out = F.when(turned < ends[name], name).otherwise(out)
+        return out
+
+    tried = placed.select("stratum", "rows", "total", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"), "place")
+    got = tried.withColumn("split", split(F.col("turn"))).groupBy("stratum", "turn").agg(*[(F.sum(F.when(F.col("split") == s, F.col("rows")).otherwise(0)) / F.max("total")).alias(s) for s in shares])
+    off = got.select("stratum", "turn", F.round(F.greatest(*[F.abs(F.col(f"`{s}`") - share) for s, share in shares.items()], F.lit(0.0)), 9).alias("off"))
+    best = off.groupBy("stratum").agg(F.min(F.struct("off", "turn"))["turn"].alias("turn"))
+    assigned = placed.join(checked_broadcast(best), "stratum").select("group_id", split(F.col("turn")).alias("split"))
     return members.join(assigned, "group_id").select("subject_id", "group_id", "n_rows", "n_positive", "split")
 
 
-def split_report(splits: DataFrame) -> DataFrame:
-    """Rows, share of rows and share of positive rows that each split reached."""
+def split_report(splits: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Per split: subjects, rows, share of rows, its deviation from `shares`, and share of positive rows."""
     per = splits.groupBy("split").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_subjects"), F.sum("n_positive").alias("n_positive"))
     all_rows = F.sum("n_rows").over(Window.partitionBy())  # over one row per split
-    return per.select("split", "n_subjects", "n_rows", (F.col("n_rows") / all_rows).alias("row_share"), (F.col("n_positive") / F.col("n_rows")).alias("positive_share"))
+    goal = F.lit(None).cast("double")
+    for name, share in shares.items():
+        goal = F.when(F.col("split") == name, share).otherwise(goal)
+    return per.select("split", "n_subjects", "n_rows", (F.col("n_rows") / all_rows).alias("row_share"), (F.col("n_rows") / all_rows - goal).alias("deviation"), (F.col("n_positive") / F.col("n_rows")).alias("positive_share"))

@@ -98,9 +98,9 @@ def test_splits(spark):
     assert len(rows) == 4001 and {r.split for r in rows} == set(shares)
     by_subject = {r.subject_id: r.split for r in rows}
     assert all(by_subject[a] == by_subject[b] for a, b in links)
-    report = {r.split: r for r in splits.split_report(result).collect()}
-    for s, share in shares.items():
-        assert abs(report[s].row_share - share) < 0.02
+    report = {r.split: r for r in splits.split_report(result, shares).collect()}
+    for s, share in shares.items():  # one subject holds a quarter of the rows
+        assert abs(report[s].row_share - share) < 0.02 and report[s].deviation == pytest.approx(report[s].row_share - share)
     assert by_subject == {r.subject_id: r.split for r in splits.split_subjects(w.repartition(5), edges, shares).collect()}
     assert splits.split_subjects(w.limit(0), edges.limit(0), shares).count() == 0
 
