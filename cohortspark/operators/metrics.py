@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.plans.shared import ship
+from cohortspark.functions.draws import digest
 
 CELLS = ("tn", "fp", "fn", "tp")
 
@@ -83,70 +82,129 @@ def roc_points(df: DataFrame, y: str = "y_true", score: str = "y_score") -> Data
     return ranked.select(F.col("score").alias("threshold"), rate("n_above", "n", totals["all_n"]).alias("fpr"), rate("p_above", "p", totals["all_p"]).alias("tpr"))
 
 
-def _balanced(tn, fp, fn, tp):
-    with np.errstate(invalid="ignore", divide="ignore"):
-        rates = np.stack([tp / (tp + fn), tn / (tn + fp)])
-    return np.where((tp + fn == 0) | (tn + fp == 0), np.nan, rates.mean(axis=0))
+def _rate(a: Column, b: Column) -> Column:
+    return F.try_divide(a, a + b)
 
 
-METRICS: dict[str, Callable] = {
-    "balanced_accuracy": _balanced,
-    "accuracy": lambda tn, fp, fn, tp: (tn + tp) / (tn + fp + fn + tp),
-    "sensitivity": lambda tn, fp, fn, tp: tp / np.where(tp + fn == 0, np.nan, tp + fn),
-    "specificity": lambda tn, fp, fn, tp: tn / np.where(tn + fp == 0, np.nan, tn + fp),
+#: Metrics of the (weighted) confusion cells tn, fp, fn, tp. Any function of four columns will do in their place.
+METRICS: dict[str, Callable[..., Column]] = {
+    "balanced_accuracy": lambda tn, fp, fn, tp: (_rate(tp, fn) + _rate(tn, fp)) / 2,
+    "accuracy": lambda tn, fp, fn, tp: F.try_divide(tn + tp, tn + fp + fn + tp),
+    "sensitivity": lambda tn, fp, fn, tp: _rate(tp, fn),
+    "specificity": lambda tn, fp, fn, tp: _rate(tn, fp),
 }
+#: Replicates drawn from one digest: of eight hex digits each.
+DRAWS = 4
+#: Rows of predictions up to which the scores of a replicate are one part.
+PART_ROWS = 50_000
 
 
-def _replicates(spark, counts: list[int], n_boot: int, seed: int, statistic: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """One value per replicate: n draws with replacement from cells of such counts are one multinomial draw."""
-    ship(spark)
-    total = sum(counts)
-    shares = np.array(counts, dtype=float) / max(total, 1)
+def poisson_limits(digits: int = 8) -> list[str]:
+    """Cumulated probabilities of a Poisson number of mean 1, as hex text: a draw counts the limits that it isn't below."""
+    upto, term, out = 0.0, math.exp(-1), []
+    for k in range(1, 14):
+        upto += term
+        out.append(f"{min(16**digits - 1, int(upto * 16**digits)):0{digits}x}")
+        term /= k
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            draws = np.stack([np.random.default_rng((seed, int(b))).multinomial(total, shares) for b in batch["id"]]) if len(batch) else np.zeros((0, len(shares)))
-            yield pd.DataFrame({"b": batch["id"], "value": statistic(draws)})
 
-    return spark.range(n_boot).mapInPandas(run, "b long, value double").where(F.col("value").isNotNull() & ~F.isnan("value"))
+def resampled(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
+    """Each row of `df` for each `block` of DRAWS replicates, with its weights w0, w1, … there.
 
+    A row occurs a Poisson number of times in a replicate, drawn by seed, key and replicate; resampling n of n rows gives the
+    same in the limit. So rows are drawn where they lie, and nothing is shuffled before it is summed. Rows that share a key
+    are drawn together.
+    """
+    drawn = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS)))).withColumn("_h", digest(seed, F.col(key), F.col("block")))
+    count = lambda j: sum(((F.substring("_h", 8 * j + 1, 8) >= limit).cast("int") for limit in poisson_limits()), F.lit(0))
+    return drawn.withColumns({f"w{j}": count(j) for j in range(DRAWS)}).drop("_h")
 
-def _interval(values: DataFrame, point: float | None, alpha: float) -> DataFrame:
-    bounds = F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return values.agg(F.lit(point).cast("double").alias("point"), bounds[0].alias("lower"), bounds[1].alias("upper"), F.count("*").alias("n_eff"))
 
+def _replicates(per_block: DataFrame, columns: list[str], n_boot: int) -> DataFrame:
+    """One row per replicate `b` from one row per block, whose columns end in the replicate's number."""
+    each = F.array(*[F.struct((F.col("block") * DRAWS + j).alias("b"), *[F.col(f"{c}{j}").alias(c) for c in columns]) for j in range(DRAWS)])
+    return per_block.select(F.inline(each)).where(F.col("b") < n_boot)
 
-def bootstrap_ci(df: DataFrame, metric: str = "balanced_accuracy", n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, y: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """One row: point, lower, upper, n_eff. Replicates with one class only are left out; bounds are null if none are left.
 
-    The data are reduced to their confusion cells first, so the cost of a replicate doesn't depend on the number of rows.
-    """
-    if n_boot < 1 or not 0 < alpha < 1 or metric not in METRICS:
-        raise ValueError("n_boot, alpha or metric is out of range")
-    _check_binary(df, y, pred)
-    counts = [confusion(df, y, pred).first()[c] for c in CELLS]
-    statistic = lambda d: np.where((d[:, 2] + d[:, 3] == 0) | (d[:, 0] + d[:, 1] == 0), np.nan, METRICS[metric](*d.T.astype(float)))
-    point = float(METRICS[metric](*[np.array([float(c)]) for c in counts])[0])
-    return _interval(_replicates(df.sparkSession, counts, n_boot, seed, statistic), None if np.isnan(point) else point, alpha)
+def _cell_values(df: DataFrame, key: str, preds: dict[str, str], y: str, metric: Callable[..., Column], n_boot: int, seed: int) -> DataFrame:
+    """(b, one column per prediction): the metric in each replicate; null where the replicate holds one class only."""
+    narrow = df.select(key, F.col(y).alias("_y"), *[F.col(p).alias(f"_p_{name}") for name, p in preds.items()])
+    sums, names = [], []
+    for name in preds:
+        for cell, (t, p) in zip(CELLS, ((0, 0), (0, 1), (1, 0), (1, 1))):
+            names.append(f"{name}_{cell}_")
+            sums += [F.sum(F.when((F.col("_y") == t) & (F.col(f"_p_{name}") == p), F.col(f"w{j}")).otherwise(0)).alias(f"{name}_{cell}_{j}") for j in range(DRAWS)]
+    per = _replicates(resampled(narrow, key, n_boot, seed).groupBy("block").agg(*sums), names, n_boot)
+
+    def value(name: str) -> Column:
+        tn, fp, fn, tp = (F.col(f"{name}_{c}_") for c in CELLS)
+        return F.when((tn + fp > 0) & (fn + tp > 0), metric(tn, fp, fn, tp))
+
+    return per.select("b", *[value(name).alias(name) for name in preds])
 
 
-def bootstrap_difference(df: DataFrame, pred_a: str, pred_b: str, metric: str = "balanced_accuracy", n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, y: str = "y_true") -> DataFrame:
-    """As bootstrap_ci, of metric(b) - metric(a), both on the same draws (cells of y, a and b)."""
-    _check_binary(df, y, pred_a, pred_b)
-    keys = [(t, a, b) for t in (0, 1) for a in (0, 1) for b in (0, 1)]
-    row = df.agg(*[F.count_if((F.col(y) == t) & (F.col(pred_a) == a) & (F.col(pred_b) == b)).alias(f"c{t}{a}{b}") for t, a, b in keys]).first()
-    counts = [row[f"c{t}{a}{b}"] for t, a, b in keys]
+def _score_parts(df: DataFrame, score: str) -> Column:
+    """A part for each range of scores, so that no window holds those of all rows."""
+    parts = df.count() // PART_ROWS
+    cuts = sorted(set(df.approxQuantile(score, [i / (parts + 1) for i in range(1, parts + 1)], 0.002))) if parts else []
+    return F.size(F.filter(F.lit(cuts), lambda c: c < F.col(score))) if cuts else F.lit(0)
 
-    def cells(d: np.ndarray, which: int) -> list[np.ndarray]:
-        return [sum(d[:, i] for i, k in enumerate(keys) if k[0] == t and k[1 + which] == p).astype(float) for t, p in ((0, 0), (0, 1), (1, 0), (1, 1))]
 
-    def statistic(d: np.ndarray) -> np.ndarray:
-        value = METRICS[metric](*cells(d, 1)) - METRICS[metric](*cells(d, 0))
-        one_class = (d[:, :4].sum(axis=1) == 0) | (d[:, 4:].sum(axis=1) == 0)
-        return np.where(one_class, np.nan, value)
+def _auc_values(df: DataFrame, key: str, y: str, score: str, n_boot: int, seed: int) -> DataFrame:
+    """(b, value): the area under the curve in each replicate, ties half; null where it holds one class only."""
+    known = df.where(F.col(score).isNotNull() & ~F.isnan(score)).select(key, F.col(y).alias("_y"), F.col(score).cast("double").alias("_s"))
+    known = known.withColumn("_part", _score_parts(known, "_s"))
+    both = lambda cls, j: F.sum(F.when(F.col("_y") == cls, F.col(f"w{j}")).otherwise(0))
+    cells = resampled(known, key, n_boot, seed).groupBy("block", "_part", "_s").agg(*[both(c, j).alias(f"{n}{j}") for j in range(DRAWS) for c, n in ((1, "p"), (0, "n"))])
+    lower = Window.partitionBy("block", "_part").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    below = cells.withColumns({f"l{j}": F.coalesce(F.sum(f"n{j}").over(lower), F.lit(0)) for j in range(DRAWS)})
+    parts = below.groupBy("block", "_part").agg(*[x for j in range(DRAWS) for x in (F.sum(F.col(f"p{j}") * (2 * F.col(f"l{j}") + F.col(f"n{j}"))).alias(f"won{j}"), F.sum(f"p{j}").alias(f"p{j}"), F.sum(f"n{j}").alias(f"n{j}"))])
+    before = Window.partitionBy("block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({f"l{j}": F.coalesce(F.sum(f"n{j}").over(before), F.lit(0)) for j in range(DRAWS)})
+    per = parts.groupBy("block").agg(*[x for j in range(DRAWS) for x in (F.sum(F.col(f"won{j}") + 2 * F.col(f"p{j}") * F.col(f"l{j}")).alias(f"won{j}"), F.sum(f"p{j}").alias(f"p{j}"), F.sum(f"n{j}").alias(f"n{j}"))])
+    return _replicates(per, ["won", "p", "n"], n_boot).select("b", F.try_divide(F.col("won"), 2 * F.col("p") * F.col("n")).alias("value"))
 
-    point = float(statistic(np.array([counts], dtype=float))[0])
-    return _interval(_replicates(df.sparkSession, counts, n_boot, seed, statistic), None if np.isnan(point) else point, alpha)
+
+def _interval(values: DataFrame, point: DataFrame, alpha: float) -> DataFrame:
+    bounds = F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    found = values.where(F.col("value").isNotNull()).agg(bounds[0].alias("lower"), bounds[1].alias("upper"), F.count("*").alias("n_eff"))
+    return point.select(F.col("point").cast("double").alias("point")).join(F.broadcast(found))  # one row each
+
+
+def _within(n_boot: int, alpha: float, metric) -> Callable[..., Column] | None:
+    if n_boot < 1 or not 0 < alpha < 1 or not (metric == "auc" or metric in METRICS or callable(metric)):
+        raise ValueError("n_boot, alpha or metric is out of range")
+    return None if metric == "auc" else METRICS.get(metric, metric)
+
+
+def bootstrap_ci(df: DataFrame, metric: str | Callable[..., Column] = "balanced_accuracy", n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, y: str = "y_true", pred: str = "y_pred", score: str = "y_score", key: str = "subject_id") -> DataFrame:
+    """One row: point, lower, upper, n_eff. Replicates with one class only are left out; bounds are null if none are left.
+
+    `metric` is one of METRICS, `auc` (of `score`), or a function of the confusion cells. `key` tells the rows apart.
+    """
+    of_cells = _within(n_boot, alpha, metric)
+    if of_cells is None:
+        _check_binary(df, y)
+        return _interval(_auc_values(df, key, y, score, n_boot, seed), auc(df, y, score).withColumnRenamed("auc", "point"), alpha)
+    _check_binary(df, y, pred)
+    values = _cell_values(df, key, {"value": pred}, y, of_cells, n_boot, seed)
+    return _interval(values, confusion(df, y, pred).select(of_cells(*map(F.col, CELLS)).alias("point")), alpha)
+
+
+def bootstrap_difference(df: DataFrame, a: str, b: str, metric: str | Callable[..., Column] = "balanced_accuracy", n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, y: str = "y_true", key: str = "subject_id") -> DataFrame:
+    """As bootstrap_ci, of metric(b) - metric(a), both on the same draws; `a` and `b` are predictions, or scores for `auc`."""
+    of_cells = _within(n_boot, alpha, metric)
+    if of_cells is None:
+        _check_binary(df, y)
+        both = [_auc_values(df, key, y, c, n_boot, seed).withColumnRenamed("value", n) for c, n in ((a, "va"), (b, "vb"))]
+        values = both[0].join(both[1], "b")
+        point = auc(df, y, a).withColumnRenamed("auc", "va").join(F.broadcast(auc(df, y, b).withColumnRenamed("auc", "vb")))  # one row each
+    else:
+        _check_binary(df, y, a, b)
+        values = _cell_values(df, key, {"va": a, "vb": b}, y, of_cells, n_boot, seed)
+        point = confusion(df, y, a).select(of_cells(*map(F.col, CELLS)).alias("va")).join(F.broadcast(confusion(df, y, b).select(of_cells(*map(F.col, CELLS)).alias("vb"))))
+    return _interval(values.select("b", (F.col("vb") - F.col("va")).alias("value")), point.select((F.col("vb") - F.col("va")).alias("point")), alpha)
 
 
 def format_ci(point: Column, lower: Column, upper: Column, digits: int = 3) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.functions.ids import session_key, subject_key
 from cohortspark.operators import aggregate, folds, joins, manifest, metrics, reports
+from cohortspark.plans.shared import written
 from cohortspark.sources import images
 from cohortspark.sources.tables import table
 
@@ -40,8 +43,12 @@ def cohort_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return _by_subject(sessions(spark, sf).where("age_matched_cohort"))
+
+
+def _by_subject(cohort: DataFrame) -> DataFrame:
     """Cohort subjects: the highest label of a subject is its label, its age that of its last year."""
-    return sessions(spark, sf).where("age_matched_cohort").groupBy("subject_id").agg(F.max("label").alias("label"), F.max("age").alias("age"), F.max("cdr").alias("cdr"))
+    return cohort.groupBy("subject_id").agg(F.max("label").alias("label"), F.max("age").alias("age"), F.max("cdr").alias("cdr"))
 
 
 def fold_assign(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,11 +57,20 @@ def fold_assign(spark: SparkSession, sf: str) -> DataFrame:
 
 def fold_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: manifest, cohort, folds, attachment to all sessions, summary."""
-    labels = _labelled(spark, sf)
-    rows = sessions(spark, sf).where("age_matched_cohort").select("subject_id", "age").join(labels.select("subject_id", "label"), "subject_id")
+    cohort = written(sessions(spark, sf).where("age_matched_cohort").select("subject_id", "label", "age", "cdr"), "cohort")
+    labels = _by_subject(cohort)
+    rows = cohort.select("subject_id", "age").join(labels.select("subject_id", "label"), "subject_id")
     return folds.summarize_folds(folds.attach_folds(rows, folds.assign_subject_folds(labels, N_SPLITS, SEED)))
 
 
+def fold_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and cases on either side of each fold."""
+    assigned = fold_assign(spark, sf)
+    sides = [(k, part, rows) for k in range(N_SPLITS) for part, rows in zip(("train", "test"), folds.train_test(assigned, k))]
+    per = [rows.agg(F.count("*").alias("n"), F.sum("label").alias("n_demented")).select(F.lit(k).alias("fold"), F.lit(part).alias("side"), "n", "n_demented") for k, part, rows in sides]
+    return reduce(DataFrame.unionByName, per)
+
+
 def label_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     return folds.conflicts(sessions(spark, sf), "subject_id", "label")
 
@@ -76,7 +92,7 @@ def _conflicted(rows: DataFrame) -> DataFrame:
 
 def _clean_slices(spark: SparkSession, sf: str) -> DataFrame:
     rows = _slices(spark, sf)
-    return joins.absent(rows, _conflicted(rows), "subject_id")
+    return written(joins.absent(rows, _conflicted(rows), "subject_id"), "clean-slices")  # guards and folds read it again
 
 
 def slice_exclusions(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,7 +115,7 @@ def agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
     per = _aggregated("max")(spark, sf)
-    return per.select("subject_id", F.col("label").alias("y_true"), "y_pred", "y_score")
+    return written(per.select("subject_id", F.col("label").alias("y_true"), "y_pred", "y_score"), "predictions")
 
 
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,15 +136,33 @@ def roc_points(spark: SparkSession, sf: str) -> DataFrame:
     return points.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
+def _interval(found: DataFrame) -> DataFrame:
+    return found.select(*[F.round(c, 9).alias(c) for c in ("point", "lower", "upper")], "n_eff")
+
+
 def bootstrap_ba(spark: SparkSession, sf: str) -> DataFrame:
-    found = metrics.bootstrap_ci(_predictions(spark, sf))
+    found = _interval(metrics.bootstrap_ci(_predictions(spark, sf)))
     return found.withColumns({"text": metrics.format_ci(F.col("point"), F.col("lower"), F.col("upper")), "beats_chance": metrics.beats_chance(F.col("lower"))})
 
 
+def bootstrap_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return _interval(metrics.bootstrap_ci(_predictions(spark, sf), "auc"))
+
+
+def _two_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean beside maximum of the slices."""
+    slices = _clean_slices(spark, sf)
+    mean, high = (aggregate.aggregate_predictions(slices, m).where("n_slices > 0") for m in ("mean", "max"))
+    both = joins.suffix_join(mean.select("subject_id", "y_pred", "y_score"), high.select("subject_id", "y_pred", "y_score", F.col("label").alias("y_true")), ["subject_id"], ("_mean", "_max"))
+    return written(both.withColumns({f"y_score_{m}": F.round(f"y_score_{m}", 9) for m in ("mean", "max")}), "two-models")
+
+
 def bootstrap_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean against maximum of the slices."""
-    mean = _aggregated("mean")(spark, sf).select("subject_id", F.col("y_pred").alias("pred_mean"))
-    return metrics.bootstrap_difference(_predictions(spark, sf).join(mean, "subject_id"), "pred_mean", "y_pred")
+    return _interval(metrics.bootstrap_difference(_two_models(spark, sf), "y_pred_mean", "y_pred_max"))
+
+
+def bootstrap_auc_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return _interval(metrics.bootstrap_difference(_two_models(spark, sf), "y_score_mean", "y_score_max", "auc"))
 
 
 def _images(spark: SparkSession, sf: str) -> DataFrame:
@@ -285,7 +319,7 @@ QUERIES = {
     "fold_summary": fold_summary, "manifest_build": manifest_build, "manifest_violations": manifest_violations, "cohort_filter": cohort_filter,
     "fold_assign": fold_assign, "label_conflicts": label_conflicts, "slice_leakage": slice_leakage, "slice_exclusions": slice_exclusions,
     "agg_mean": _aggregated("mean"), "agg_median": _aggregated("median"), "agg_max": _aggregated("max"), "slice_agreement": agreement,
-    "confusion": confusion, "report": report, "auc": auc, "roc_points": roc_points, "bootstrap_ba": bootstrap_ba, "bootstrap_diff": bootstrap_diff,
+    "confusion": confusion, "report": report, "auc": auc, "roc_points": roc_points, "bootstrap_ba": bootstrap_ba, "bootstrap_diff": bootstrap_diff, "bootstrap_auc": bootstrap_auc, "bootstrap_auc_diff": bootstrap_auc_diff, "fold_masks": fold_masks,
     "ambiguous_images": ambiguous_images, "availability": availability, "availability_by_fold": availability_by_fold,
     "missing_vs_present": missing_vs_present, "files_without_record": files_without_record,
     "image_states": image_states, "image_states_by_fold": image_states_by_fold, "image_state_ages": image_state_ages,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cohortspark.operators.metrics import poisson_limits
+
 _ASCII = "translate({}, '０１２３４５６７８９', '0123456789')"
 
 
@@ -66,7 +68,35 @@ _SHUFFLE = """take AS (SELECT subject_id, {g} AS g, fold, row_number() OVER (PAR
 give AS (SELECT {g} AS g, label, row_number() OVER (PARTITION BY {g} ORDER BY md5('42b|' || subject_id)) AS n FROM folds)
 SELECT t.subject_id, v.label, t.fold FROM take t JOIN give v USING (g, n)"""
 
+_WEIGHT = " + ".join(f"CAST(substr(h, 8 * j + 1, 8) >= '{limit}' AS INTEGER)" for limit in poisson_limits())
+_BOUNDS = "round(quantile_cont(value, 0.025), 9) AS lower, round(quantile_cont(value, 0.975), 9) AS upper, count(*) AS n_eff"
+_TWO = _with(SLICES, CLEAN, _aggregated("avg", "a"), _aggregated("max", "m"), "preds AS (SELECT subject_id, m.label AS y_true, CAST(a.score >= 0.5 AS INTEGER) AS pa, CAST(m.score >= 0.5 AS INTEGER) AS pb, round(a.score, 9) AS sa, round(m.score, 9) AS sb FROM a JOIN m USING (subject_id))")
+_DRAWN = f""", h AS (SELECT p.*, block, md5('42|' || subject_id || '|' || block) AS h FROM preds p, range(500) AS r(block)),
+w AS (SELECT * EXCLUDE (h), block * 4 + j AS b, {_WEIGHT} AS w FROM h, range(4) AS d(j))"""
+
+
+def _balanced(pred: str, w: str) -> str:
+    hit = lambda v: f"sum({w}) FILTER (y_true = {v} AND {pred} = {v}) / sum({w}) FILTER (y_true = {v})"
+    return f"(coalesce({hit(1)}, 0) + coalesce({hit(0)}, 0)) / 2"
+
+
+def _area(score: str, name: str) -> str:
+    """Of each replicate the area under the curve; replicate -1 is the sample itself."""
+    return f""", {name}_s AS (SELECT b, {score} AS s, sum(w) FILTER (y_true = 1) AS p, sum(w) FILTER (y_true = 0) AS n FROM all_w GROUP BY ALL),
+{name}_l AS (SELECT b, coalesce(p, 0) AS p, coalesce(n, 0) AS n, coalesce(sum(coalesce(n, 0)) OVER (PARTITION BY b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM {name}_s),
+{name} AS (SELECT b, sum(p * (2 * l + n)) / (2 * sum(p) * sum(n)) AS value FROM {name}_l GROUP BY b HAVING sum(p) > 0 AND sum(n) > 0)"""
+
+
+_ALL = ", all_w AS (SELECT * EXCLUDE (block, j) FROM w UNION ALL BY NAME SELECT *, -1 AS b, 1 AS w FROM preds)"
+_POINT = "SELECT round((SELECT value FROM v WHERE b = -1), 9) AS point, " + _BOUNDS + " FROM v WHERE b >= 0"
+_BOTH_CLASSES = "HAVING sum(w) FILTER (y_true = 1) > 0 AND sum(w) FILTER (y_true = 0) > 0"
+
 ORACLES = {
+    "bootstrap_ba": _PREDICTIONS + _DRAWN + _ALL + f", v AS (SELECT b, {_balanced('y_pred', 'w')} AS value FROM all_w GROUP BY b {_BOTH_CLASSES}), f AS ({_POINT}) SELECT *, printf('%.3f [%.3f, %.3f]', point, lower, upper) AS text, lower > 0.5 AS beats_chance FROM f",
+    "bootstrap_diff": _TWO + _DRAWN + _ALL + f", v AS (SELECT b, {_balanced('pb', 'w')} - {_balanced('pa', 'w')} AS value FROM all_w GROUP BY b {_BOTH_CLASSES}) " + _POINT,
+    "bootstrap_auc": _PREDICTIONS + _DRAWN + _ALL + _area("y_score", "v") + " " + _POINT,
+    "bootstrap_auc_diff": _TWO + _DRAWN + _ALL + _area("sa", "x") + _area("sb", "y") + ", v AS (SELECT b, y.value - x.value AS value FROM x JOIN y USING (b)) " + _POINT,
+    "fold_masks": _with(SESSIONS, LABELLED, FOLDS) + "SELECT CAST(k AS INTEGER) AS fold, CASE WHEN f.fold = k THEN 'test' ELSE 'train' END AS side, count(*) AS n, sum(label) AS n_demented FROM folds f, range(5) AS r(k) GROUP BY ALL",
     "ranked_sites": f"SELECT site, round(avg(age), 6) AS mean_age, count(DISTINCT {subject('subject_id', 'raw_id')}) AS n_subjects, count(DISTINCT batch_day) AS n_days FROM subject_records GROUP BY site",
     "top_sessions": _with(_IMAGES) + "SELECT raw_id FROM images ORDER BY raw_id LIMIT 10",
     "label_pairs": _with(SESSIONS, SLICES) + "SELECT subject_id, label FROM sessions UNION SELECT subject_id, label FROM slices",

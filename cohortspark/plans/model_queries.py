@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortspark.operators import aggregate, crossval, embed, features, folds, reports, segment, studies
 from cohortspark.operators.logistic import Recipe, fit_large
 from cohortspark.plans.cohort_queries import N_SPLITS, SEED
-from cohortspark.plans.voxel_queries import segmentations, volumes
+from cohortspark.plans.voxel_queries import _SEG, _V, segmentations, volumes
 
 FEATURES = ["csf_fraction", "grey_matter_fraction", "white_matter_fraction", "gm_wm_ratio"]
 BACKBONE = "projection_64"
@@ -77,15 +77,49 @@ def collinearity_study(spark: SparkSession, sf: str) -> DataFrame:
     return studies.collinearity(featured(spark, sf), FEATURES)
 
 
+LEAST_STD = 0.125
+
+
 def near_constant(spark: SparkSession, sf: str) -> DataFrame:
-    """Regional features that hardly vary between volumes."""
-    wide = volumes(spark, sf).select("subject_id", *[F.get("data", F.lit(i)).alias(f"v_b0_0_{i}") for i in range(64)], F.lit(1.0).alias("flat_b0_0_0"))
-    names = features.near_constant(wide, [c for c in wide.columns if "_b" in c])
-    return reports.value_counts(spark.createDataFrame([(n,) for n in names], "name string"), ["name"])
+    """Voxels that hardly vary between volumes, by the name of their block of one."""
+    names = {f"v_b{i // 16}_{i // 4 % 4}_{i % 4}": i for i in range(64)}
+    wide = volumes(spark, sf).select(*[F.get("data", F.lit(i)).alias(n) for n, i in names.items()])
+    found = features.near_constant(wide, list(names), LEAST_STD)
+    return spark.createDataFrame([(n,) for n in found], "name string")
+
+
+def feature_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """How strongly the tissue features of a study correlate, in pairs."""
+    found = reports.correlations(features.tissue_features(segmentations(spark, sf)), FEATURES)
+    return found.select("feature_a", "feature_b", F.round("r", 6).alias("r"))
+
+
+def final_refit(spark: SparkSession, sf: str) -> DataFrame:
+    """Coefficients of the final model, whose strength nested validation chose, with the metrics stored beside it."""
+    model, about = studies.final_refit(featured(spark, sf), FEATURES, [r for r in GRID if r.k is None and r.components is None])
+    rows = [("coefficient", n, float(v)) for n, v in zip(model["features"], model["coefficients"])] + [("metric", n, float(v)) for n, v in sorted(about["scores"].items())]
+    return spark.createDataFrame(rows, "kind string, name string, value double")
+
+
+def collinear_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidate feature sets, with and without the collinear ones, by nested validation over the grid's strengths."""
+    plain = [r for r in GRID if r.k is None and r.components is None]
+    sets = {"all": FEATURES} | {"without_" + f: [x for x in FEATURES if x != f] for f in ("csf_fraction", "gm_wm_ratio")}
+    return studies.compare_recipes(featured(spark, sf), sets, {name: plain for name in sets})
 
 
 QUERIES = {
     "baseline_study": baseline_study, "recipe_comparison": recipe_comparison, "collinearity_study": collinearity_study, "near_constant": near_constant,
+    "feature_correlations": feature_correlations, "final_refit": final_refit, "collinear_candidates": collinear_candidates,
     "cv_logreg": cv_logreg, "nested_cv": nested_cv, "nested_selections": nested_selections, "final_model": final_model,
     "segment_dice": segment_dice, "embed_fanout": embed_fanout, "embed_cv": embed_cv,
 }
+
+_STDS = "(SELECT n, stddev_samp(v) AS sd FROM v GROUP BY n)"
+_PAIRS = [(a, b) for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]]
+ORACLES = {
+    "near_constant": _V + f" SELECT 'v_b' || (n // 16) || '_' || (n // 4 % 4) || '_' || (n % 4) AS name FROM {_STDS} WHERE sd IS NULL OR sd <= {LEAST_STD}",
+    "feature_correlations": _V + _SEG + ", t AS (SELECT subject_id, count(*) FILTER (seg = 1) AS c, count(*) FILTER (seg = 2) AS g, count(*) FILTER (seg = 3) AS w FROM s GROUP BY subject_id), f AS (SELECT "
+    + ", ".join(f"coalesce({part}, 0) AS {name}" for name, part in zip(FEATURES, ("c / nullif(c + g + w, 0)", "g / nullif(c + g + w, 0)", "w / nullif(c + g + w, 0)", "g / nullif(w, 0)"))) + " FROM t) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr({a}, {b}), 6) AS r FROM f" for a, b in _PAIRS),
+}

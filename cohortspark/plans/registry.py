@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return cohort_sql.ORACLES | voxel_queries.ORACLES | data_queries.ORACLES
+    return cohort_sql.ORACLES | voxel_queries.ORACLES | model_queries.ORACLES | data_queries.ORACLES

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,21 +132,45 @@ def test_auc_is_the_share_of_ordered_pairs(spark):
 
 
 def test_bootstrap(spark):
-    flip = spark.createDataFrame([(i % 2, (i // 2) % 2, 1 - i % 2) for i in range(200)], "y_true int, y_pred int, wrong int")
+    flip = spark.createDataFrame([(i, i % 2, (i // 2) % 2, 1 - i % 2) for i in range(200)], "subject_id int, y_true int, y_pred int, wrong int")
     ci = metrics.bootstrap_ci(flip, n_boot=500).first()
     assert ci.lower < 0.5 < ci.upper and ci.n_eff == 500
     assert ci == metrics.bootstrap_ci(flip, n_boot=500).first()
-    good = spark.createDataFrame([(i % 2, i % 2 if i % 10 else 1 - i % 2) for i in range(300)], "y_true int, y_pred int")
+    good = spark.createDataFrame([(i, i % 2, i % 2 if i % 10 else 1 - i % 2) for i in range(300)], "subject_id int, y_true int, y_pred int")
     assert metrics.bootstrap_ci(good, n_boot=300).first().lower > 0.5
     diff = metrics.bootstrap_difference(flip, "wrong", "y_pred", n_boot=300).first()
     assert diff.point == 0.5 and diff.lower > 0
-    one = spark.createDataFrame([(1, 1)] * 5, "y_true int, y_pred int")
+    own = metrics.bootstrap_ci(good, lambda tn, fp, fn, tp: tp / (tp + fp), n_boot=100).first()
+    assert own.lower < own.point == 0.9 < own.upper
+    one = spark.createDataFrame([(i, 1, 1) for i in range(5)], "subject_id int, y_true int, y_pred int")
     assert metrics.bootstrap_ci(one, n_boot=20).first().n_eff == 0
     text = spark.createDataFrame([(0.5, 0.4, 0.6), (None, 0.1, 0.2), (0.5, None, 0.2)], "p double, l double, u double")
     shown = text.select(metrics.format_ci(F.col("p"), F.col("l"), F.col("u")), metrics.beats_chance(F.col("l"))).collect()
     assert [tuple(r) for r in shown] == [("0.500 [0.400, 0.600]", False), ("n/a", False), ("0.500", False)]
 
 
+def test_bootstrap_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300)
+    a, b = np.round(y * 0.5 + rng.normal(size=300), 1), np.round(y * 1.5 + rng.normal(size=300), 1)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(y, a, b))], "subject_id int, y_true double, a double, b double").withColumn("y_true", F.col("y_true").cast("int"))
+
+    def area(y, s):
+        pos, neg = s[y == 1], s[y == 0]
+        return ((pos[:, None] > neg) + (pos[:, None] == neg) / 2).mean()
+
+    draws = [rng.integers(0, 300, 300) for _ in range(1000)]
+    want = np.percentile([area(y[d], a[d]) for d in draws], [2.5, 97.5])
+    got = metrics.bootstrap_ci(df, "auc", n_boot=1000, score="a").first()
+    assert got.point == pytest.approx(area(y, a)) and np.allclose([got.lower, got.upper], want, atol=0.015) and got.n_eff == 1000
+    both = metrics.bootstrap_difference(df, "a", "b", "auc", n_boot=400).first()
+    assert both.point == pytest.approx(area(y, b) - area(y, a)) and 0 < both.lower < both.point < both.upper
+    monkeypatch.setattr(metrics, "PART_ROWS", 40)  # several parts of scores
+    assert tuple(metrics.bootstrap_ci(df, "auc", n_boot=1000, score="a").first()) == pytest.approx(tuple(got))
+    with pytest.raises(ValueError):
+        metrics.bootstrap_ci(df, "unknown")
+
+
 def test_joins(spark):
     a, b = spark.createDataFrame([(1, 2, "x"), (2, 3, "y")], "k int, v int, o string"), spark.createDataFrame([(1, 5), (1, 6)], "k int, v int")
     with pytest.raises(ValueError, match="not unique"):

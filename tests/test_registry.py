@@ -3,7 +3,6 @@ from numbers import Number
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from cohortspark.plans import registry
@@ -23,16 +22,29 @@ def test_core_does_not_import_the_text_package():
                 assert not any(n.startswith("cohortspark.llm") for n in names), path
 
 
-@pytest.mark.parametrize("name", ["fold_summary", "agg_median", "auc", "availability", "vox_triplanar", "regional_vector", "p3_found"])
-def test_query_matches_sql(spark, sf, name):
-    duckdb = pytest.importorskip("duckdb")
-    connection = duckdb.connect()
+@pytest.fixture(scope="module")
+def sql(sf):
+    connection = pytest.importorskip("duckdb").connect()
     for path in Path(sf).glob("*.parquet"):
         connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
-    want = connection.execute(registry.oracles()[name]).df()
-    got = registry.queries()[name](spark, sf).toPandas()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    plain = lambda v: "null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, (Number, np.bool_)) else str(v)
-    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].itertuples(index=False))
+    return connection
+
+
+def plain(v):
+    """A value as text; null and not-a-number are told apart."""
+    if v is None:
+        return "null"
+    return f"{float(v):.6f}" if isinstance(v, (Number, np.bool_)) else str(v)
+
+
+def same_rows(query, statement, spark, sf, sql):
+    want, got = sql.sql(statement).to_arrow_table(), query(spark, sf).toArrow()
+    columns = sorted(want.column_names)
+    assert sorted(got.column_names) == columns
+    rows = lambda t: sorted(tuple(map(plain, r)) for r in zip(*[t.column(c).to_pylist() for c in columns]))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracles()))
+def test_query_matches_sql(spark, sf, sql, name):
+    same_rows(registry.queries()[name], registry.oracles()[name], spark, sf, sql)
