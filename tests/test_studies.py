@@ -36,4 +36,4 @@ def test_comparison_collinearity_and_refit(spark):
     near = {r.feature: (r.nearest, round(r.abs_r, 6)) for r in studies.collinearity(df, ["a", "b", "c"]).collect()}
     assert near["a"] == ("c", 1.0) and near["c"] == ("a", 1.0)
     model, meta = studies.final_refit(df, ["a", "b"], [Recipe(c=0.01), Recipe(c=1.0)])
-    assert model["features"] == meta.feature_columns == ["a", "b"] and meta.metrics["balanced_accuracy"] > 0.8 and meta.n_train_subjects == 60
+    assert model["features"] == meta.inputs == ["a", "b"] and meta.scores["balanced_accuracy"] > 0.8 and meta.subjects == 60
