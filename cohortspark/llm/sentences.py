@@ -1,10 +1,11 @@
 """Sentence units of documents in any script: candidate boundaries, classified by a maximum-entropy model.
 
 A document is cut into paragraphs (lines; in text/plain pages, blocks between blank lines). Within a paragraph every sentence
-terminator outside quotations and parentheses, and every one that closes such a span, is a candidate. The model is trained
-on the reliable ones: a terminator before a line break is a boundary; before a small letter, or after a list number, it is
-none. Its features (kind of terminator, the token before it with its length, case and digits, quotation, script, and how the
-token behaves in the whole corpus) leave out what makes those examples reliable, so it can judge the others.
+terminator outside quotations and parentheses, and every one that closes such a span, is a candidate, and so is a space beside
+a Thai letter. The model is trained on the reliable ones: a line break is a boundary, whatever stands before and after it; a
+terminator before a small letter or after a list number, and a space beside a number or sign, is none. Its features (kind of
+terminator, the tokens before and after it with length, case, digits and script, quotation, and how the token behaves in the
+whole corpus) leave out what makes those examples reliable (whether the next letter is small), so it can judge the others.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ _SPAN = re.compile(
     '"[^"]*"|“[^”“„]*”|„[^“”„]*[“”]|«[^»«]*»|»[^«»]*«|「[^」]*」|『[^』]*』|\\([^()]*\\)|（[^（）]*）|\\[[^\\[\\]]*\\]'
 )
 _TERM = re.compile("[.!?…。！？｡।॥؟۔;;։።။]+")
-_THAI_SPACE = re.compile("(?<=[ก-ฺเ-ๅ็-๎])[   ]+(?=[ก-ฮะ-ฺเ-ไ])")
+_THAI_SPACE = re.compile("(?<=[\u0e00-\u0e7f])[ \xa0\u202f]+(?=\\S)|(?<=\\S)[ \xa0\u202f]+(?=[\u0e00-\u0e7f])")
+_THAI_BEFORE, _THAI_AFTER = re.compile("[\u0e01-\u0e3a\u0e40-\u0e45\u0e47-\u0e4e]"), re.compile("[\u0e01-\u0e2e\u0e30-\u0e3a\u0e40-\u0e44]")
 _LIST_NUMBER = re.compile(r"[(\[]?(?:\d{1,3}|[^\W\d_])[.)\]]+")
 _SPACE = re.compile(r"\s*")
 _TOKEN = re.compile(r"\S+\Z")
@@ -49,7 +52,8 @@ _OPENING = "\"“„«»「『(（[¿¡‘'’–—-•*·​⁠­﻿"
 _EDGE = "\"“”„«»「」『』()（）[]¿¡‘’',:;!?،؛"
 _IGNORED = "​⁠­﻿"
 _STANDING = "。！？｡"  # end sentences without a space
-N_FEATURES = 23
+_AFTER = re.compile(r"\S{1,24}")
+N_FEATURES = 30
 
 
 def paragraphs(text: str, plain: bool) -> Iterator[tuple[int, int]]:
@@ -92,13 +96,46 @@ def _token_before(p: str, at: int) -> str:
     return word
 
 
+def _token_after(p: str, at: int) -> str:
+    m = _AFTER.match(p, at)
+    return m.group() if m else ""
+
+
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "").partition(" ")[0] if letter.isalpha() else ""
+
+
+def space_features(before: str, after: str) -> list[float]:
+    """Features of a space between two characters, one of them Thai."""
+    x = [0.0] * N_FEATURES
+    own, following = bool(_THAI_BEFORE.match(before)), bool(_THAI_AFTER.match(after))
+    x[25] = 1.0
+    x[26], x[27], x[28] = float(own), float(following), float(own and following)
+    x[29] = float(before.isdigit() or after.isdigit())
+    return x
+
+
+#: Where a corpus has few Thai lines: two letters part sentences, a number or sign on either side doesn't.
+_KNOWN_SPACES = [(("\u0e01", "\u0e01"), 1.0), (("\u0e01", "1"), 0.0), (("1", "\u0e01"), 0.0), (("\u0e01", "-"), 0.0), (("-", "\u0e01"), 0.0)]
+
+
+def thai_spaces(p: str) -> Iterator[tuple[int, str, str]]:
+    """(place, character before, character after) of the spaces beside Thai letters, outside quotations and parentheses."""
+    found = list(_THAI_SPACE.finditer(p)) if any("\u0e00" <= ch <= "\u0e7f" for ch in p) else []
+    if found:
+        spans = [m.span() for m in _SPAN.finditer(p)]
+        for m in found:
+            if not any(a < m.start() < b for a, b in spans):
+                yield m.start(), p[m.start() - 1], p[m.end()]
+
+
 def _type(word: str) -> str:
     """What statistics are kept of: the token, or how long a number is."""
     return f"#{len(word)}" if word.isdigit() else word
 
 
 class Candidate:
-    __slots__ = ("end", "mark", "word", "quoted", "quote_at_start", "after_colon", "next", "kind", "at_end", "listed")
+    __slots__ = ("end", "mark", "word", "quoted", "quote_at_start", "after_colon", "next", "kind", "at_end", "listed", "after")
 
 
 def candidates(p: str) -> Iterator[Candidate]:
@@ -135,6 +172,7 @@ def candidates(p: str) -> Iterator[Candidate]:
         while i < n and p[i] in _OPENING:
             i += 1
         c.next = p[i] if i < n else ""
+        c.after = _token_after(p, i)
         c.kind = _kind(c.next)
         c.word = _token_before(p, a) if mark == "." else ""
         c.after_colon = bool(span and re.search("[:：]\\s*\\Z", p[max(0, span[0] - 4) : span[0]]))
@@ -191,6 +229,9 @@ def features(c: Candidate, stats: dict[str, tuple[int, int, int]], own_end: bool
         x[20] = share * (1 - final) * float(len(bare) <= 3)
     before = unicodedata.name(c.word[-1], "") if c.word else ""
     x[21] = float(bool(before) and not before.startswith("LATIN"))
+    after = c.after.strip(_EDGE)
+    x[23] = min(len(after), 12) / 12
+    x[24] = float(bool(after) and bool(c.word) and _script(after[0]) != _script(c.word[-1]) and after[0].isalpha())
     return x
 
 
@@ -211,6 +252,7 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         contexts: set[tuple[str, str]] = set()
         ends: Counter[str] = Counter()
         for _, text, plain in _documents(batch):
+            ends[""] += 1  # the number of documents
             words.update(text.split())
             for a, b in paragraphs(text, plain):
                 p = text[a:b]
@@ -238,6 +280,8 @@ def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def token_statistics(documents: DataFrame) -> dict[str, tuple[int, int, int]]:
     """Of each abbreviation-like token: distinct contexts with a period, line ends, occurrences without; over all documents.
 
+    Under the empty token the number of documents.
+
     Contexts count once however often a page is mirrored. Kept are those of three letters or fewer and those with a period
     in a good part of their occurrences, if they are tokens with a period in two contexts or more and in at
     least a millionth of all such contexts, so there are never over a million of them.
@@ -250,26 +294,36 @@ def token_statistics(documents: DataFrame) -> dict[str, tuple[int, int, int]]:
     total = words.agg(F.sum("period")).first()[0] or 0
     frequent = F.col("period") >= max(2.0, total * 1e-6)
     kept = words.where(frequent & ((F.length("word") <= 3) | (F.col("period") / (F.col("period") + F.col("plain")) >= LEAST_PERIOD_SHARE)))
-    return {r["word"]: (r["period"], r["line_end"], r["plain"]) for r in kept.collect()}
+    return {r["word"]: (r["period"], r["line_end"], r["plain"]) for r in kept.union(words.where("word = ''")).collect()}
 
 
 def _training_batches(stats):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, labels = [], []
+            rows, labels = [space_features(*pair) for pair, _ in _KNOWN_SPACES], [label for _, label in _KNOWN_SPACES]
             for _, text, plain in _documents(batch):
-                for a, b in paragraphs(text, plain):
-                    p, start = text[a:b], 0
+                lines = [text[a:b] for a, b in paragraphs(text, plain)]
+                for p, following in zip(lines, [*lines[1:], ""]):
+                    start = 0
                     for c in candidates(p):
                         mark_place(c, p, start)
                         if c.at_end and not c.listed:
-                            rows.append(features(c, stats.value, own_end=True))
-                            labels.append(1.0)
+                            if following:
+                                c.after = _token_after(following, len(following) - len(following.lstrip(_OPENING)))
+                                rows.append(features(c, stats.value, own_end=True))
+                                labels.append(1.0)
                         elif c.kind == "small" or c.listed or c.next == "と":
                             rows.append(features(c, stats.value))
                             labels.append(0.0)
                         elif not c.quoted and c.mark != ".":
                             start = c.end
+                    for _, before, after in thai_spaces(p):
+                        if not (before.isalpha() or _THAI_BEFORE.match(before)) or not (after.isalpha() or _THAI_AFTER.match(after)):
+                            rows.append(space_features(before, after))
+                            labels.append(0.0)
+                    if following and _THAI_BEFORE.match(p[-1]) and _THAI_AFTER.match(following[0]):
+                        rows.append(space_features(p[-1], following[0]))
+                        labels.append(1.0)
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.float64())], names=["x", "label"])
 
     return run
@@ -277,7 +331,7 @@ def _training_batches(stats):
 
 def fit(documents: DataFrame, stats) -> np.ndarray:
     """Weights and bias of the maximum-entropy model, from the reliable candidates of a bounded sample of documents."""
-    total = max(1, documents.count())
+    total = max(1, stats.value.get("", (0, 1, 0))[1])
     sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, TRAINING_DOCUMENTS / total)))
     schema = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("label", T.DoubleType())])
     rows = written(sample.select("doc_id", "text", "content_type").mapInArrow(_training_batches(stats), schema), "boundary-examples")
@@ -291,6 +345,7 @@ def fit(documents: DataFrame, stats) -> np.ndarray:
 def boundaries(p: str, stats: dict, weights: list[float]) -> Iterator[int]:
     """Ends of the sentences of a paragraph."""
     bias, w, start = weights[-1], weights[:-1], 0
+    is_end = lambda x: sum(map(mul, w, x)) + bias > 0
     found = []
     for c in candidates(p):
         if c.at_end:
@@ -298,13 +353,12 @@ def boundaries(p: str, stats: dict, weights: list[float]) -> Iterator[int]:
         mark_place(c, p, start)
         if c.listed or c.kind == "small":
             continue
-        if sum(a * b for a, b in zip(w, features(c, stats))) + bias > 0:
+        if is_end(features(c, stats)):
             found.append(c.end)
             start = c.end
-    spaces = [m.start() for m in _THAI_SPACE.finditer(p)] if any("฀" <= ch <= "๿" for ch in p) else []
+    spaces = [at for at, before, after in thai_spaces(p) if is_end(space_features(before, after))]
     if spaces:
-        spans = [m.span() for m in _SPAN.finditer(p)]
-        found = sorted({*found, *[s for s in spaces if not any(a < s < b for a, b in spans)]})
+        found = sorted({*found, *spaces})
     yield from found
     yield len(p)
 
