@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-_OTHER, _SEP, _QUOTE, _BREAK, _END, _PAD = range(6)
+_OTHER, _SEP, _QUOTE, _END, _PAD = range(5)
 _START, _PLAIN, _QUOTED, _CLOSED, _BROKEN = range(5)
 _CHUNK = 256
 
@@ -25,7 +25,6 @@ _NEXT = np.array(
         [_PLAIN, _PLAIN, _QUOTED, _BROKEN, _BROKEN],
         [_START, _START, _QUOTED, _START, _BROKEN],
         [_QUOTED, _BROKEN, _CLOSED, _QUOTED, _BROKEN],
-        [_BROKEN, _BROKEN, _QUOTED, _BROKEN, _BROKEN],
         [_START, _START, _START, _START, _START],
         [_START, _PLAIN, _QUOTED, _CLOSED, _BROKEN],
     ],
@@ -68,17 +67,17 @@ def _fields(record: str, sep: str, cuts: np.ndarray) -> list[str]:
     return out
 
 
-def tokenize(records: list[str], seps: list[str]) -> tuple[list[int | None], list[list[str] | None]]:
+def tokenize(records: list[str], seps: list[str]) -> tuple[list[int | None], list[list[str] | None], list[list[int] | None]]:
     """Of each record the offset (code points) at which its quoting breaks, or its fields.
 
-    A quote left open breaks at the record's end. A null record has no fields.
+    A quote left open breaks at the record's end. Line breaks are characters like any other. A null record has no fields. The
+    third list has the offsets at which the fields of records with quotes start; elsewhere these follow from the fields.
     """
     texts = [r if r is not None else "" for r in records]
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts)) + 1
     codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     sep = np.repeat(np.fromiter((ord(s[0]) if s else 0x110000 for s in seps), np.uint32, len(seps)), lengths)
     classes = np.zeros(len(codes), dtype=np.uint8)
-    classes[(codes == 10) | (codes == 13)] = _BREAK
     classes[codes == sep] = _SEP
     classes[codes == 34] = _QUOTE
     ends = np.cumsum(lengths) - 1
@@ -97,18 +96,21 @@ def tokenize(records: list[str], seps: list[str]) -> tuple[list[int | None], lis
         None if records[i] is None or broken_at[i] is not None else _fields(texts[i], seps[i] or "\0", cuts[first[i] : last[i]] - starts[i])
         for i in range(len(texts))
     ]
-    return broken_at, fields
+    begins: list[list[int] | None] = [
+        [0, *(cuts[first[i] : last[i]] - starts[i] + 1).tolist()] if fields[i] is not None and '"' in texts[i] else None for i in range(len(texts))
+    ]
+    return broken_at, fields, begins
 
 
-TOKENS = T.StructType([T.StructField("broken_at", T.IntegerType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+TOKENS = T.StructType([T.StructField("broken_at", T.IntegerType()), T.StructField("fields", T.ArrayType(T.StringType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
 
 
 @pandas_udf(TOKENS)
 def tokenized(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Column form of `tokenize`: raw record and separator to (offset of the break, fields)."""
+    """Column form of `tokenize`: raw record and separator to (offset of the break, fields, their starts)."""
     for records, seps in batches:
-        broken_at, fields = tokenize([None if pd.isna(r) else r for r in records], ["" if pd.isna(s) else s for s in seps])
-        yield pd.DataFrame({"broken_at": pd.array(broken_at, dtype="Int32"), "fields": fields})
+        broken_at, fields, starts = tokenize([None if pd.isna(r) else r for r in records], ["" if pd.isna(s) else s for s in seps])
+        yield pd.DataFrame({"broken_at": pd.array(broken_at, dtype="Int32"), "fields": fields, "starts": starts})
 
 
 #: Not deterministic in name only: the optimizer may then neither repeat it nor move a filter below it.

@@ -50,8 +50,10 @@ def parse_sheet_rows(rows: DataFrame, sheets: DataFrame, rules: tuple[FieldRule,
 
     `rows` has row_id, sheet_id, line_no, raw_line; `sheets` has sheet_id, header, sep_char (one character),
     decimal_mark, na_token. The result has row_id, sheet_id, line_no, one typed column per rule (null in failing
-    rows), `reason`, `error_offset` (code points from the record's start, for `quoting`), `error_field` (for `values`)
-    and raw_line of failing rows.
+    rows), `reason`, `error_offset` (code points from the record's start: where the quoting breaks, where the first field too
+    many starts or the record ends too early, where the wrong field starts; a required field that the sheet has no column for
+    is wanted at the record's end), `error_field` (for `values`) and raw_line of failing rows. Line breaks outside quotes are
+    characters like any other.
 
     The first that applies is the reason: `sheet` (no such sheet, or more than one row for it: the first header counts),
     `quoting`, `columns` (a null record has none), `values`. Other columns of either input, whatever their names,
@@ -92,7 +94,13 @@ def parse_sheet_rows(rows: DataFrame, sheets: DataFrame, rules: tuple[FieldRule,
         bad = value.isNotNull() & ~value.rlike(rf"\A(?:{rule.pattern})\z") if rule.pattern else F.lit(False)
         return (value.isNull() | bad) if rule.required else bad
 
-    bad_field = F.coalesce(*[F.when(fails(r), F.lit(r.header)) for r in rules])
+    bad_field = F.coalesce(*[F.when(fails(r), F.struct(F.lit(r.header).alias("name"), F.col(f"at_{r.name}").alias("at"))) for r in rules])
+
+    def start_of(at: Column) -> Column:
+        """Where a field starts, counted from 1; the record's end where it has none."""
+        before = F.aggregate(F.slice("t.fields", 1, at - 1), F.lit(0), lambda a, f: a + F.length(f) + 1)
+        return F.when((at < 1) | (at > F.size("t.fields")), F.length("raw_line")).otherwise(F.coalesce(F.try_element_at("t.starts", at), before))
+
     n_fields = F.coalesce(F.size("t.fields"), F.lit(0))
     reason = (
         F.when(F.col("known").isNull(), "sheet")
@@ -106,8 +114,10 @@ def parse_sheet_rows(rows: DataFrame, sheets: DataFrame, rules: tuple[FieldRule,
         "row_id", "sheet_id", "line_no",
         *[F.when(ok, F.col(f"c_{r.name}").try_cast(r.kind)).alias(r.name) for r in rules],
         "reason",
-        F.when(F.col("reason") == "quoting", F.col("t.broken_at")).alias("error_offset"),
-        F.when(F.col("reason") == "values", F.col("bad_field")).alias("error_field"),
+        F.when(F.col("reason") == "quoting", F.col("t.broken_at"))
+        .when(F.col("reason") == "columns", F.coalesce(start_of(F.col("n_columns") + 1), F.lit(0)))
+        .when(F.col("reason") == "values", start_of(F.coalesce("bad_field.at", F.lit(0)))).alias("error_offset"),
+        F.when(F.col("reason") == "values", F.col("bad_field.name")).alias("error_field"),
         F.when(~ok, F.col("raw_line")).alias("raw_line"),
     )
 

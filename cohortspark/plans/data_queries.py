@@ -43,7 +43,7 @@ def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p2_found": p2_found, "p2_typed_rows": p2_typed_rows, "p3_found": p3_found, "p3_filled": p3_filled}
 
 #: § stands for the sheet's separator. A well-formed record, and its fields once it is known to be one.
-_CELL = '(?:"(?:[^"]|"")*"|[^"§\\n\\r]*)'
+_CELL = '(?:"(?:[^"]|"")*"|[^"§]*)'
 _KINDS = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
 
 
