@@ -62,6 +62,11 @@ def read_volumes(spark: SparkSession, root: str) -> DataFrame:
     return pairs.mapInPandas(run, VOLUME)
 
 
+def read_segmentations(spark: SparkSession, root: str) -> DataFrame:
+    """As read_volumes, with labels as whole numbers; fractions are cut off, towards 0."""
+    return read_volumes(spark, root).withColumn("data", F.col("data").cast("array<smallint>"))
+
+
 def cached(spark: SparkSession, path: str, make, rebuild: bool = False) -> DataFrame:
     """The Parquet table at `path`; made by `make()` and written there if it isn't, or if `rebuild`. Put every parameter in the path."""
     if not rebuild:

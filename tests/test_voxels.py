@@ -256,6 +256,10 @@ def test_volume_files(spark, tmp_path):
     (tmp_path / "c.hdr").write_bytes(header)
     got = volume_files.read_volumes(spark, str(tmp_path)).collect()
     assert len(got) == 2 and all(r.shape == [2, 3, 4] and r.data == a.ravel().tolist() for r in got)
+    (tmp_path / "seg").mkdir()
+    for part, content in zip(("hdr", "img"), volume_files.encode([1, 1, 4], np.array([0.0, 1.9, 2.0, -0.5]))):
+        (tmp_path / "seg" / f"s.{part}").write_bytes(content)
+    assert volume_files.read_segmentations(spark, str(tmp_path / "seg")).first().data == [0, 1, 2, 0]
     with pytest.raises(ValueError, match="dimensions"):
         volume_files.decode(*volume_files.encode([2, 3, 2, 2], a))
     with pytest.raises(ValueError, match="header"):
