@@ -113,10 +113,11 @@ def resampled(df: DataFrame, key: str, n_boot: int, seed: int) -> DataFrame:
     """Each row of `df` for each `block` of DRAWS replicates, with its weights w0, w1, … there.
 
     A row occurs a Poisson number of times in a replicate, drawn by seed, key and replicate; resampling n of n rows gives the
-    same in the limit. So rows are drawn where they lie, and nothing is shuffled before it is summed. Rows that share a key
+    same in the limit. So no row has to meet its draw: rows are spread once, and draws are summed before they are shuffled. Rows that share a key
     are drawn together.
     """
-    drawn = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS)))).withColumn("_h", digest(seed, F.col(key), F.col("block")))
+    spread = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few predictions become many draws
+    drawn = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // DRAWS)))).withColumn("_h", digest(seed, F.col(key), F.col("block")))
     count = lambda j: sum(((F.substring("_h", 8 * j + 1, 8) >= limit).cast("int") for limit in poisson_limits()), F.lit(0))
     return drawn.withColumns({f"w{j}": count(j) for j in range(DRAWS)}).drop("_h")
 
