@@ -155,7 +155,7 @@ def rake(cells: DataFrame, given: dict[str, float], repeats: dict[str, int], rou
     last = np.inf
     for raked.rounds in range(1, rounds + 1):
         moved = max(step("lang"), step("topic"), step("source"))
-        if moved < tolerance or abs(last - moved) < tolerance / 100:  # margins that can't all be met settle with the same residue
+        if moved < tolerance or abs(last - moved) < max(tolerance, moved) / 100:  # margins that can't all be met settle with the same residue
             break
         last = moved
     for _ in range(rounds):
