@@ -55,6 +55,8 @@ _IMAGES = r"""images AS (
   GROUP BY 1)"""
 _AVAILABLE = """distinct_sessions AS (SELECT DISTINCT subject_id, raw_id, label, age, sex, cdr, nwbv, etiv, asf, mmse, education FROM sessions),
 available AS (SELECT d.*, coalesce(i.image_path, '') AS image_path, i.image_path IS NOT NULL AS image_available FROM distinct_sessions d LEFT JOIN (SELECT * FROM images WHERE n_images = 1) i USING (raw_id))"""
+_STATES = """distinct_sessions AS (SELECT DISTINCT subject_id, raw_id, label, age, sex, cdr, nwbv, etiv, asf, mmse, education FROM sessions),
+states AS (SELECT d.*, coalesce(i.n_images, 0) AS n_images, CASE WHEN i.n_images = 1 THEN i.image_path ELSE '' END AS image_path FROM distinct_sessions d LEFT JOIN images i USING (raw_id))"""
 _FEATURES = ["age", "education", "mmse", "etiv", "asf"]
 
 
@@ -110,6 +112,8 @@ ORACLES = {
         round_even(100.0 * sum(f.label) / count(*), 1) AS pct_demented, round_even(avg(s.age), 1) AS mean_age FROM sessions s JOIN folds f USING (subject_id) WHERE s.age_matched_cohort GROUP BY f.fold""",
     "label_conflicts": _with(SESSIONS) + "SELECT subject_id, count(DISTINCT label) AS n_values FROM sessions WHERE subject_id IS NOT NULL GROUP BY subject_id HAVING count(DISTINCT label) > 1",
     "slice_leakage": _with(SLICES) + "SELECT subject_id, count(DISTINCT fold) AS n_values FROM slices GROUP BY subject_id HAVING count(DISTINCT fold) > 1",
+    "slice_exclusions": _with(SLICES) + """, per AS (SELECT subject_id, count(DISTINCT label) > 1 AS label_conflict, count(DISTINCT fold) > 1 AS fold_conflict, count(*) AS n_slices FROM slices GROUP BY subject_id)
+        SELECT label_conflict, fold_conflict, count(*) AS n_subjects, sum(n_slices) AS n_slices FROM per WHERE label_conflict OR fold_conflict GROUP BY ALL""",
     "agg_mean": _with(SLICES, CLEAN, _aggregated("avg")) + _AGG_SELECT,
     "agg_median": _with(SLICES, CLEAN, _aggregated("median")) + _AGG_SELECT,
     "agg_max": _with(SLICES, CLEAN, _aggregated("max")) + _AGG_SELECT,
@@ -129,6 +133,10 @@ ORACLES = {
     "availability_by_fold": _with(SESSIONS, LABELLED, FOLDS, _IMAGES, _AVAILABLE) + """SELECT f.fold, count(*) AS n, sum(f.label) AS n_demented, count(*) FILTER (a.image_available) AS n_available, count(*) - sum(f.label) AS n_cn
         FROM available a JOIN folds f USING (subject_id) GROUP BY f.fold""",
     "missing_vs_present": _with(SESSIONS, _IMAGES, _AVAILABLE) + "SELECT round(avg(age) FILTER (image_available), 6) AS mean_present, round(avg(age) FILTER (NOT image_available), 6) AS mean_missing FROM available",
+    "image_states": _with(SESSIONS, _IMAGES, _STATES) + "SELECT DISTINCT raw_id, label, age, image_path, n_images >= 1 AS image_available, n_images > 1 AS image_ambiguous FROM states",
+    "image_states_by_fold": _with(SESSIONS, LABELLED, FOLDS, _IMAGES, _STATES) + """SELECT f.fold, count(*) AS n, sum(f.label) AS n_demented, count(*) FILTER (s.n_images = 1) AS n_one, count(*) FILTER (s.n_images > 1) AS n_ambiguous,
+        count(*) FILTER (s.n_images = 0) AS n_none, count(*) - sum(f.label) AS n_cn FROM states s JOIN folds f USING (subject_id) GROUP BY f.fold""",
+    "image_state_ages": _with(SESSIONS, _IMAGES, _STATES) + "SELECT CASE WHEN n_images > 1 THEN 'ambiguous' WHEN n_images = 1 THEN 'one' ELSE 'none' END AS state, count(*) AS n, round(avg(age), 6) AS mean_age FROM states GROUP BY 1",
     "files_without_record": _with(SESSIONS, _IMAGES) + "SELECT raw_id FROM images WHERE raw_id NOT IN (SELECT raw_id FROM sessions WHERE raw_id IS NOT NULL)",
     "group_means": _with(SESSIONS) + "SELECT label, round(round_even(avg(age), 4), 3) AS age, round(round_even(avg(etiv), 4), 3) AS etiv, round(round_even(avg(asf), 4), 3) AS asf FROM sessions GROUP BY label",
     "describe": _with(SESSIONS) + _long("SELECT '{0}' AS feature, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, CAST(min({0}) AS DOUBLE) AS min, CAST(max({0}) AS DOUBLE) AS max, count({0}) AS n FROM sessions", _FEATURES),
@@ -142,5 +150,8 @@ ORACLES = {
     "suffix_join": _with(SLICES, CLEAN, _aggregated("avg", "a"), _aggregated("max", "b")) + "SELECT subject_id, a.label AS label_mean, b.label AS label_max, round(a.score, 9) AS y_score_mean, round(b.score, 9) AS y_score_max FROM a JOIN b USING (subject_id)",
     "lookup_join": "SELECT site, record_id, (SELECT min(sheet_id) FROM sheets s WHERE s.site = r.site) AS first_sheet FROM subject_records r",
     "shuffle_global": _with(SESSIONS, LABELLED, FOLDS) + ", " + _SHUFFLE.format(g="0"),
+    "shuffle_subject": _with(SLICES, CLEAN) + """, pairs AS (SELECT DISTINCT subject_id, label FROM clean),
+        take AS (SELECT subject_id, row_number() OVER (ORDER BY md5('42a|' || subject_id)) AS n FROM pairs), give AS (SELECT label, row_number() OVER (ORDER BY md5('42b|' || subject_id)) AS n FROM pairs)
+        SELECT c.subject_id, v.label, c.fold, c.slice_position, c.y_score FROM clean c JOIN take t USING (subject_id) JOIN give v USING (n)""",
     "shuffle_within_fold": _with(SESSIONS, LABELLED, FOLDS) + ", " + _SHUFFLE.format(g="fold"),
 }
