@@ -13,7 +13,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from operator import mul
 
@@ -25,16 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortspark.llm.letters import pieces
 from cohortspark.plans.shared import ship, written
 
 #: Bound of the training sample: documents whose reliable candidates are fitted.
 TRAINING_DOCUMENTS = 6_000
 #: Tokens of at most so many characters can be abbreviations; statistics are kept for them alone.
 SHORT = 8
-#: Share of line ends among a token's occurrences with a period from which it ends sentences like any word, and number of
+#: Characters in which the token after one is looked for, as its context.
+CONTEXT = 16
+#: Share of line ends among a token's contexts with a period from which it ends sentences like any word, and number of
 #: contexts in which a word that ends sentences would surely have ended a line.
 USUAL_ENDS, ENOUGH_CONTEXTS = 0.05, 40
-#: A token type is kept as abbreviation-like from this share of occurrences with a period.
+#: A token type is kept as abbreviation-like from this share of contexts with a period.
 LEAST_PERIOD_SHARE = 0.2
 
 _LINE = re.compile("[^\n\r\x0b\x0c\x85  ]+")
@@ -190,7 +192,7 @@ def mark_place(c: Candidate, p: str, start: int) -> None:
 
 
 def features(c: Candidate, stats: dict[str, tuple[int, int, int]], own_end: bool = False) -> list[float]:
-    """Features of the model. stats: of a token its contexts with a period, its line ends, its occurrences without.
+    """Features of the model. stats: of a token its distinct contexts with a period, at line ends, and without.
 
     own_end: this line end is taken out of the token's statistics, so that training sees what judging will see.
     """
@@ -245,56 +247,67 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, str, bool]]:
             yield i, text, _plain(kind)
 
 
+#: Kinds of contexts of a token: before something else on its line with a period, the same at a line's end, without a period.
+_PERIOD, _LINE_END, _WITHOUT, _DOCUMENTS = range(4)
+
+
+def _next_token(text: str, at: int) -> str:
+    after = text[at : at + CONTEXT].split(maxsplit=1)
+    return after[0] if after else ""
+
+
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: short tokens with their occurrences without a period, and the distinct contexts of those with one."""
-    for batch in batches:
-        words: Counter[str] = Counter()
-        contexts: set[tuple[str, str]] = set()
-        ends: Counter[str] = Counter()
+    """Per piece of a batch: short tokens with what follows them, once by kind; and the number of documents."""
+    for batch in (piece for whole in batches for piece in pieces(whole, "text")):
+        pairs: set[tuple[str, str]] = set()
+        seen: tuple[set, set, set] = (set(), set(), set())
+        n_documents = 0
         for _, text, plain in _documents(batch):
-            ends[""] += 1  # the number of documents
-            words.update(text.split())
-            for a, b in paragraphs(text, plain):
+            n_documents += 1
+            tokens = text.split()
+            pairs.update((t, u) for t, u in zip(tokens, [*tokens[1:], ""]) if len(t) <= SHORT + 4 and t[-1] != ".")
+            lines = list(paragraphs(text, plain))
+            for (a, b), (following, _) in zip(lines, [*lines[1:], (len(text), 0)]):
                 p = text[a:b]
                 if "." not in p:
                     continue
                 for c in candidates(p):
                     if c.mark == "." and 0 < len(c.word) <= SHORT:
+                        after = _next_token(p, c.end)
+                        seen[_PERIOD].add((_type(c.word), f"{c.word} {after}" if after else ""))
                         if c.at_end:
-                            ends[_type(c.word)] += 1
-                        after = p[c.end : c.end + 16].split(maxsplit=1)
-                        contexts.add((_type(c.word), f"{c.word} {after[0]}" if after else ""))
-        plain_counts: Counter[str] = Counter()
-        for token, count in words.items():
-            if len(token) <= SHORT + 4 and not token.endswith("."):
-                bare = token.strip(_EDGE)
-                if 0 < len(bare) <= SHORT:
-                    plain_counts[_type(bare)] += count
-        rows = [(w, x, 1, 0, 0) for w, x in contexts] + [(w, None, 0, n, 0) for w, n in ends.items()] + [(w, None, 0, 0, n) for w, n in plain_counts.items()]
-        columns = list(zip(*rows)) if rows else [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), *[pa.array(c, pa.int64()) for c in columns[2:]]], names=["word", "context", "period", "line_end", "plain"]
-        )
+                            seen[_LINE_END].add((_type(c.word), f"{c.word} {_next_token(text, following)}"))
+        for token, after in pairs:
+            bare = token.strip(_EDGE)
+            if 0 < len(bare) <= SHORT:
+                seen[_WITHOUT].add((_type(bare), f"{bare} {after[:CONTEXT]}"))
+        words = [w for found in seen for w, _ in found] + [""]
+        contexts = [x for found in seen for _, x in found] + [""]
+        sizes = [*map(len, seen), 1]
+        columns = [pa.array(words, pa.string()), pa.array(contexts, pa.string()), pa.array(np.repeat(np.arange(4, dtype=np.int32), sizes)), pa.array([1] * (len(words) - 1) + [n_documents], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "context", "kind", "n"])
 
 
 def token_statistics(documents: DataFrame) -> dict[str, tuple[int, int, int]]:
-    """Of each abbreviation-like token: distinct contexts with a period, line ends, occurrences without; over all documents.
+    """Of each abbreviation-like token: its distinct contexts with a period, at line ends, and without; over all documents.
 
     Under the empty token the number of documents.
 
-    Contexts count once however often a page is mirrored. Kept are those of three letters or fewer and those with a period
-    in a good part of their occurrences, if they are tokens with a period in two contexts or more and in at
-    least a millionth of all such contexts, so there are never over a million of them.
+    A context is the token with what follows it, at a line's end with what the next line begins with. All three kinds count once
+    however often a page is mirrored, so their shares stay alike as the corpus grows. Kept are tokens of three letters or fewer
+    and those with a period in a good part of their contexts, if they have two contexts or more with a period and at least a
+    millionth of all such contexts, so there are never over a million of them.
     """
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("context", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("period", "line_end", "plain")]])
-    seen = documents.select("doc_id", "text", "content_type").mapInArrow(_observations, schema)
-    once = seen.groupBy("word", "context").agg(F.max("period").alias("period"), F.sum("line_end").alias("line_end"), F.sum("plain").alias("plain"))
-    words = once.groupBy("word").agg(F.sum("period").alias("period"), F.sum("line_end").alias("line_end"), F.sum("plain").alias("plain")).where("period > 0 or line_end > 0")
-    words = written(words, "period-tokens")
+    seen = documents.select("doc_id", "text", "content_type").mapInArrow(_observations, "word string, context string, kind int, n long")
+    once = seen.groupBy("word", "kind", F.xxhash64("context").alias("context")).agg(F.sum("n").alias("n"))
+    kinds = {"period": _PERIOD, "line_end": _LINE_END, "plain": _WITHOUT}
+    words = once.groupBy("word").agg(*[F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()], F.sum(F.when(F.col("kind") == _DOCUMENTS, F.col("n"))).alias("documents"))
+    words = written(words.where("period > 0 or documents > 0"), "period-tokens")
     total = words.agg(F.sum("period")).first()[0] or 0
     frequent = F.col("period") >= max(2.0, total * 1e-6)
     kept = words.where(frequent & ((F.length("word") <= 3) | (F.col("period") / (F.col("period") + F.col("plain")) >= LEAST_PERIOD_SHARE)))
-    return {r["word"]: (r["period"], r["line_end"], r["plain"]) for r in kept.union(words.where("word = ''")).collect()}
+    found = {r["word"]: (r["period"], r["line_end"], r["plain"]) for r in kept.where("word <> ''").collect()}
+    return found | {"": (0, words.where("word = ''").agg(F.sum("documents")).first()[0] or 0, 0)}
 
 
 def _training_batches(stats):

@@ -207,3 +207,11 @@ def test_units_cover_all_that_is_not_space(spark, sf):
         at[r.doc_id] = r.end_pos
     assert all(not t[at.get(i, 0) :].strip() for i, t in texts.items())
     assert sentences.sentence_units(docs.limit(0)).count() == 0
+
+
+def test_token_statistics_do_not_grow_with_mirrored_pages(spark):
+    texts = [("He met Dr. Wen there. No answer came.\nSaid no to Dr. Pel.\nNext came Dr. Ash", "text/html"), ("No. 3 and No. 4 say no.\nThe end", "text/html")]
+    pages = lambda copies: spark.createDataFrame([(10 * c + i, t, k) for c in range(copies) for i, (t, k) in enumerate(texts)], "doc_id long, text string, content_type string")
+    once, often = sentences.token_statistics(pages(1)), sentences.token_statistics(pages(30).repartition(3))
+    assert once.pop("") == (0, 2, 0) and often.pop("") == (0, 60, 0)
+    assert once == often and once["Dr"] == (3, 0, 0) and once["No"] == (2, 0, 1)
