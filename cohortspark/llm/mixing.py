@@ -111,7 +111,12 @@ class Raked:
 
         The factors go in as one text each, which Spark reads once: a literal per factor would be slow for many topics.
         """
-        at = lambda numbers, m: F.get(F.split(F.lit(",".join(repr(float(x)) for x in numbers)), ",").cast("array<double>"), F.col(f"{m}_at"))
+
+        def at(numbers: np.ndarray, m: str) -> Column:
+            if not len(numbers):  # no cells
+                return F.lit(None).cast("double")
+            return F.get(F.split(F.lit(",".join(repr(float(x)) for x in numbers)), ",").cast("array<double>"), F.col(f"{m}_at"))
+
         product = reduce(lambda x, y: x * y, [at(self.factors[m], m) for m in KEYS])
         return F.least(product, at(self.caps, "source"))
 
